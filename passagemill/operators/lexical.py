@@ -230,20 +230,40 @@ def bm25_topk(
 
 
 def bm25_postings_topk(
-    inverted: DataFrame, stats: DataFrame, queries: DataFrame, k: int = LIMITS.lexical_k
+    inverted: DataFrame, stats: DataFrame, queries: DataFrame, k: int = LIMITS.lexical_k,
+    buckets: int | None = None,
 ) -> DataFrame:
     """The same search over ``postings`` and a one-row ``stats`` (n, avgdl).
 
     Query units are few and checked to be so, hence broadcast; postings are
     filtered by term first and summed per passage before the only shuffle.
     """
-    parts = [_postings_slice(inverted, stats, part) for part in query_slices(queries)]
+    parts = [_postings_slice(inverted, stats, part, buckets) for part in query_slices(queries)]
     return rank_topk(union_all(parts), k, "chunk_id")
 
 
-def _postings_slice(inverted: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
+MAX_LITERAL_TERMS = 500
+
+
+def spark_buckets(df: DataFrame, terms: list[str], buckets: int) -> list[int]:
+    """Partition buckets of a few terms, hashed by the engine that wrote them."""
+    rows = df.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    code = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+    return sorted({r.bucket for r in rows.select(code).collect()})
+
+
+def _postings_slice(
+    inverted: DataFrame, stats: DataFrame, queries: DataFrame, buckets: int | None
+) -> DataFrame:
     units = query_units(queries).withColumn("size", F.size("phrase"))
     single = units.where("size = 1").select("qid", F.col("phrase")[0].alias("term"), "weight")
+    terms = sorted({t for r in units.select("phrase").distinct().collect() for t in r.phrase})
+    if len(terms) <= MAX_LITERAL_TERMS:
+        # Literals reach the scan: partitions by bucket, row groups by term.
+        inverted = inverted.where(F.col("term").isin(terms))
+        if buckets is not None:
+            codes = spark_buckets(inverted, terms, buckets)
+            inverted = inverted.where(F.col("bucket").isin(codes))
     wanted = F.broadcast(single.select("term").distinct())
     plain = inverted.join(wanted, "term").select(
         F.array("term").alias("phrase"), "chunk_id", "doc_id", "dl", "tf"

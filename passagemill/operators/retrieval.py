@@ -32,6 +32,15 @@ class Corpus:
     inverted: DataFrame | None = None
     stats: DataFrame | None = None
     tau: float | None = None
+    buckets: int | None = None
+
+    def lookup(self, rows: DataFrame, key: str, wanted: DataFrame, hint) -> DataFrame:
+        """Join ``wanted`` to stored rows by id; bucketed tables open matching partitions only."""
+        if self.buckets is None or "bucket" not in rows.columns:
+            return rows.join(hint(wanted), key)
+        bucket = F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+        known = wanted.where(F.col(key) > "").withColumn("bucket", bucket)
+        return rows.join(hint(known), ["bucket", key])
 
 
 @dataclass
@@ -65,7 +74,9 @@ def search_legs(
         dense = dense_topk(corpus.children, vectors, limits.dense_k)
     if mode != "dense":
         if corpus.inverted is not None:
-            hits = bm25_postings_topk(corpus.inverted, corpus.stats, queries, limits.lexical_k)
+            hits = bm25_postings_topk(
+                corpus.inverted, corpus.stats, queries, limits.lexical_k, corpus.buckets
+            )
             lexical = _owners(corpus, hits, queries)
         else:
             lexical = bm25_topk(corpus.children, queries, limits.lexical_k)
@@ -73,8 +84,9 @@ def search_legs(
 
 
 def _owners(corpus: Corpus, hits: DataFrame, queries: DataFrame) -> DataFrame:
-    small = _hint(queries)
-    return corpus.children.select("chunk_id", "parent_id").join(small(hits), "chunk_id")
+    hits = cut_lineage(hits)
+    columns = [c for c in ("chunk_id", "parent_id", "bucket") if c in corpus.children.columns]
+    return corpus.lookup(corpus.children.select(*columns), "chunk_id", hits, _hint(queries))
 
 
 def _hint(queries: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -86,12 +98,13 @@ def _hint(queries: DataFrame) -> Callable[[DataFrame], DataFrame]:
 
 def emit(corpus: Corpus, ranked: DataFrame, mode: str, hint=lambda df: df) -> DataFrame:
     """Fetch the parents of ranked rows; texts are read for these rows only."""
+    bucket = [c for c in ("bucket",) if c in corpus.parents.columns]
     parents = corpus.parents.select(
-        "parent_id", F.col("text").alias("parent_text"), "heading_path", "source_path",
+        *bucket, "parent_id", F.col("text").alias("parent_text"), "heading_path", "source_path",
         "file_sha256", "page_start", "page_end", "start_char", "end_char",
     )
     return (
-        parents.join(hint(ranked), "parent_id")
+        corpus.lookup(parents, "parent_id", ranked, hint)
         .withColumn("mode", F.lit(mode))
         .select(*HIT_COLUMNS)
     )
@@ -108,7 +121,8 @@ def rerank_pairs(
         .join(owner, ["qid", "chunk_id"])
         .join(queries.select("qid", "q"), "qid")
     )
-    return corpus.children.select("chunk_id", "embed_text").join(hint(top), "chunk_id")
+    columns = [c for c in ("bucket", "chunk_id", "embed_text") if c in corpus.children.columns]
+    return corpus.lookup(corpus.children.select(*columns), "chunk_id", top, hint)
 
 
 def rank_mode(
