@@ -9,8 +9,12 @@ answer over all tasks.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -123,10 +127,21 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a result that several later steps share, on shared storage."""
+    """Write a result that several later steps share and read it back.
+
+    The table lies in the cluster's checkpoint folder, so it survives the loss of
+    executors, is computed once, and its size is known to the optimizer.
+    """
     spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="passagemill-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    path = f"{folder.rstrip('/')}/passagemill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """Where no checkpoint folder is configured: one machine, so a folder of its own."""
+    folder = tempfile.mkdtemp(prefix="passagemill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder

@@ -229,4 +229,5 @@ def sql(main: str, *needs: str) -> str:
         add(name)
     if not done:
         return main
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in done) + "\n" + main
+    recursive = "RECURSIVE " if any(n.endswith("_walk") for n in done) else ""
+    return f"WITH {recursive}" + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in done) + "\n" + main

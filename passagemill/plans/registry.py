@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from passagemill.plans import search
+from passagemill.plans import search, texts
 
-MODULES = (search,)
+MODULES = (search, texts)
 
 
 def queries() -> dict:
