@@ -47,14 +47,17 @@ def _parent_pieces(df: DataFrame, count: X.TokenCounter, limits: Limits) -> Data
     )
     out = out.withColumn("_long", F.when(~rows, _long(F.col("_units"), count, cap)))
 
-    def split_words(u: Column, i: Column) -> Column:
-        is_long = F.coalesce(F.get(F.col("_long"), i), F.lit(False))
-        words = F.transform(X.pieces(u, X.WORDS), lambda w: F.struct(w.alias("raw"), i.alias("unit")))
-        return F.when(is_long, words).otherwise(
-            F.array(F.struct(u.alias("raw"), F.lit(_WHOLE).alias("unit")))
+    # Both arrays are zipped before the lambda: a column named inside one may be
+    # computed again for every element.
+    def split_words(z: Column, i: Column) -> Column:
+        words = F.transform(X.pieces(z["u"], X.WORDS), lambda w: F.struct(w.alias("raw"), i.alias("unit")))
+        return F.when(z["long"], words).otherwise(
+            F.array(F.struct(z["u"].alias("raw"), F.lit(_WHOLE).alias("unit")))
         )
 
-    return out.withColumn("pieces", F.flatten(F.transform("_units", split_words))).drop("_units", "_long")
+    no_long = F.transform("_units", lambda u: F.lit(False))
+    zipped = F.arrays_zip(F.col("_units").alias("u"), F.coalesce("_long", no_long).alias("long"))
+    return out.withColumn("pieces", F.flatten(F.transform(zipped, split_words))).drop("_units", "_long")
 
 
 def _child_pieces(df: DataFrame, count: X.TokenCounter, limits: Limits) -> DataFrame:
@@ -82,11 +85,11 @@ def _pack_pieces(
         .withColumn("visible", F.transform("raws", lambda r: ~X.is_blank(r)))
         .withColumn("head", F.when(table, F.array_position("visible", F.lit(True)).cast("int") - 1))
     )
-    body = F.transform("visible", lambda v, i: v & (F.col("head").isNull() | (i != F.col("head"))))
     packed = pack(
         F.col("counts"),
         F.col("pieces.unit"),
-        body,
+        F.col("visible"),
+        F.coalesce("head", F.lit(-1)),
         F.transform("raws", F.length),
         F.when(table, F.lit(NO_TARGET)).otherwise(target),
         F.when(table, cap - F.coalesce(F.get("counts", F.col("head")), F.lit(0))).otherwise(cap),
@@ -94,18 +97,21 @@ def _pack_pieces(
     )
     out = out.withColumn("packed", packed)
 
-    def join_pieces(r: Column) -> Column:
+    def join_pieces(b: Column) -> Column:
         return F.transform(
-            "packed",
+            b["packed"],
             lambda w: F.struct(
                 w["first"].alias("first"),
                 w["start"].alias("start"),
-                F.array_join(F.slice(r, w["first"] + 1, w["last"] - w["first"] + 1), "").alias("raw"),
+                F.array_join(F.slice(b["raws"], w["first"] + 1, w["last"] - w["first"] + 1), "").alias("raw"),
             ),
         )
 
+    # Naming ``packed`` twice keeps the optimizer from moving the function call
+    # into the lambda's argument, where it could not run.
+    spans = F.when(F.col("packed").isNotNull(), X.let(F.struct("raws", "packed"), join_pieces))
     return (
-        out.withColumn("spans", X.let(F.col("raws"), join_pieces))
+        out.withColumn("spans", spans)
         .withColumn("header", F.get("raws", F.col("head")))
         .withColumn("lead", F.array_join(F.slice("raws", 1, F.col("head") + 1), ""))
         .drop("pieces", "raws", "counts", "visible", "packed", "head")
@@ -132,22 +138,27 @@ def _parent_spans() -> Column:
 
 def _child_spans() -> Column:
     """Passages of a parent; later row groups of a table repeat its header line."""
-    header = F.regexp_replace("header", "\\n+$", "")
-
-    def table_group(s: Column, i: Column) -> Column:
-        first = _stripped(F.concat(F.col("lead"), s["raw"]), F.lit(0))
-        rows = F.regexp_replace(s["raw"], "\\n+$", "")
-        later = F.struct(
-            F.concat(header, F.lit("\n"), X.strip(rows)).alias("text"),
-            s["start"].alias("start"),
-            (s["start"] + F.length(rows)).alias("end"),
-        )
-        return F.when(i == 0, first).otherwise(later)
 
-    lone_body = X.strip(header)
-    head_at = F.length("lead") - F.length("header")
-    lone = F.struct(lone_body.alias("text"), head_at.alias("start"), (head_at + F.length(lone_body)).alias("end"))
-    table = F.when(F.size("spans") == 0, F.array(lone)).otherwise(F.transform("spans", table_group))
+    def groups(t: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            first = _stripped(F.concat(t["lead"], s["raw"]), F.lit(0))
+            rows = F.regexp_replace(s["raw"], "\\n+$", "")
+            later = F.struct(
+                F.concat(t["header"], F.lit("\n"), X.strip(rows)).alias("text"),
+                s["start"].alias("start"),
+                (s["start"] + F.length(rows)).alias("end"),
+            )
+            return F.when(i == 0, first).otherwise(later)
+
+        body = X.strip(t["header"])
+        at = F.length(t["lead"]) - t["size"]
+        lone = F.struct(body.alias("text"), at.alias("start"), (at + F.length(body)).alias("end"))
+        return F.when(F.size(t["spans"]) == 0, F.array(lone)).otherwise(F.transform(t["spans"], one))
+
+    top = F.struct(
+        "spans", F.regexp_replace("header", "\\n+$", "").alias("header"), F.col("lead"), F.length("header").alias("size")
+    )
+    table = X.let(top, groups)
     cut = F.transform("spans", lambda s: _stripped(s["raw"], s["start"]))
     whole = F.array(_stripped(F.col("text"), F.lit(0)))
     return (

@@ -65,8 +65,8 @@ def merge_cut_units(counts, units, cap: int) -> list[tuple[int, int]]:
     return out
 
 
-def _pack(counts, units, visible, target, cap, overlap):
-    keep = [i for i, v in enumerate(visible) if v]
+def _pack(counts, units, visible, header, target, cap, overlap):
+    keep = [i for i, v in enumerate(visible) if v and i != header]
     n = [int(counts[i]) for i in keep]
     spans = merge_cut_units(n, [int(units[i]) for i in keep], cap) if max(units, default=-1) >= 0 else None
     if spans is None:
@@ -78,29 +78,30 @@ def _pack(counts, units, visible, target, cap, overlap):
 
 @F.pandas_udf(WINDOWS)
 def _pack_column(
-    counts: pd.Series, units: pd.Series, visible: pd.Series, lengths: pd.Series,
+    counts: pd.Series, units: pd.Series, visible: pd.Series, header: pd.Series, lengths: pd.Series,
     target: pd.Series, cap: pd.Series, overlap: pd.Series,
 ) -> pd.Series:
     out = []
-    for c, u, v, size, t, m, o in zip(counts, units, visible, lengths, target, cap, overlap):
+    for c, u, v, h, size, t, m, o in zip(counts, units, visible, header, lengths, target, cap, overlap):
         if c is None:
             out.append(None)
             continue
         at = [0, *accumulate(int(x) for x in size)]
-        found = _pack(c, u, v, int(t), int(m), int(o) if o >= 0 else None)
+        found = _pack(c, u, v, h, int(t), int(m), int(o) if o >= 0 else None)
         out.append([{"first": a, "last": b, "start": at[a]} for a, b in found])
     return pd.Series(out, dtype=object)
 
 
 def pack(
-    counts: Column, units: Column, visible: Column, lengths: Column,
+    counts: Column, units: Column, visible: Column, header: Column, lengths: Column,
     target: Column, cap: Column, overlap: Column,
 ) -> Column:
     """Windows over each row's arrays, with the offset at which each starts.
 
-    Null arrays give null; an overlap of -1 means windows share nothing.
+    The piece numbered ``header`` (-1 for none) is in no window.  Null arrays give
+    null; an overlap of -1 means windows share nothing.
     """
-    return _pack_column(counts, units, visible, lengths, target, cap, overlap)
+    return _pack_column(counts, units, visible, header, lengths, target, cap, overlap)
 
 
 def pack_counts(counts: Column, target: int, cap: int, overlap: int | None) -> Column:
@@ -109,6 +110,7 @@ def pack_counts(counts: Column, target: int, cap: int, overlap: int | None) -> C
         counts,
         F.transform(counts, lambda _: F.lit(-1)),
         F.transform(counts, lambda _: F.lit(True)),
+        F.lit(-1),
         F.transform(counts, lambda _: F.lit(0)),
         F.lit(target), F.lit(cap), F.lit(-1 if overlap is None else overlap),
     )
