@@ -183,3 +183,8 @@ class Index:
 
 def bucket_of(key: str, buckets: int):
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def orphans(stored: DataFrame, keep: DataFrame, documents: DataFrame) -> DataFrame:
+    """Stored rows of the given documents whose (doc_id, chunk_id) is not kept."""
+    return stored.join(documents, "doc_id", "left_semi").join(keep, ["doc_id", "chunk_id"], "left_anti")

@@ -155,7 +155,17 @@ def ingest(
     from disk keep theirs.  Returns (doc_id, status, chunks, reason) in path order.
     """
     listing = S.list_files(spark, path, index_dir, limits)
-    index = Index(spark, index_dir, model_id, model_revision, limits.pipeline_version)
+    return ingest_listed(listing, index_dir, encode, count, model_id, model_revision, limits, fail_fast)
+
+
+def ingest_listed(
+    listing: DataFrame, index_dir: str,
+    encode: Callable[[Column], Column] = hash_vector, count: X.TokenCounter = X.whitespace_tokens,
+    model_id: str = HASH_MODEL, model_revision: str = HASH_REVISION,
+    limits: Limits = LIMITS, fail_fast: bool = True,
+) -> DataFrame:
+    """The same for files already listed, however they were found."""
+    index = Index(listing.sparkSession, index_dir, model_id, model_revision, limits.pipeline_version)
     listed = cut_lineage(split_unchanged(S.with_digest(listing), index.files() if index.exists else None, index))
     failure = first_failure(listed) if fail_fast else None
     usable = listed if failure is None else listed.where(F.col("path_order") < failure.path_order)

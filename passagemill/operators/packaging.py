@@ -15,7 +15,7 @@ def format_hit() -> Column:
     """One hit as shown on a terminal: a line of facts, then the passage."""
     facts = F.format_string(
         "%.4f  %s  %s  %s  %s  chars %d-%d  %s",
-        F.col("score"),
+        F.bround("score", 4),
         F.when(F.col("confident"), "confident").otherwise("uncertain"),
         F.col("source_path"), F.col("heading_path"), _pages("p.", "p.-"),
         F.col("start_char"), F.col("end_char"), F.substring("file_sha256", 1, 12),

@@ -132,11 +132,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The table lies in the cluster's checkpoint folder, so it survives the loss of
     executors, is computed once, and its size is known to the optimizer.
     """
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    path = f"{folder.rstrip('/')}/passagemill-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new name in the folder the cluster shares for intermediate tables."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    return f"{folder.rstrip('/')}/passagemill-{uuid.uuid4().hex}"
 
 
 @lru_cache(maxsize=1)

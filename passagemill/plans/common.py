@@ -147,7 +147,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 def _bm25_ctes(source: str, extra: str = "") -> dict[str, tuple[tuple[str, ...], str]]:
     """Statistics and scores over one table of passages; names carry its suffix."""
     s = source
-    parent = "parent_id" if source == "child" else "chunk_id AS parent_id"
+    parent = "parent_id" if source.endswith("child") else "chunk_id AS parent_id"
     return {
         f"terms_{s}": ((s,), f"SELECT chunk_id, doc_id, {parent}, {sql_terms('embed_text')} AS terms FROM {s}"),
         f"stats_{s}": ((f"terms_{s}",), f"SELECT count(*)::DOUBLE AS n_all, avg(len(terms)) AS avgdl FROM terms_{s}"),
@@ -171,6 +171,7 @@ def _bm25_ctes(source: str, extra: str = "") -> dict[str, tuple[tuple[str, ...],
 
 
 CTES.update(_bm25_ctes("child"))
+CTES.update(_bm25_ctes("chunk_child"))
 CTES.update(_bm25_ctes("doc_chunk"))
 
 

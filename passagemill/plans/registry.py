@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from passagemill.plans import search, texts
+from passagemill.plans import endtoend, scoring, search, texts
 
-MODULES = (search, texts)
+MODULES = (search, texts, scoring, endtoend)
 
 
 def queries() -> dict:

@@ -173,15 +173,6 @@ def best_child(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.best_children(found, fusion.fuse(found, "chunk_id"))
 
 
-@_add("agreement_fast_path", C.sql(
-    "SELECT qid, parent_id, round(score, 9) AS score FROM agreed", "agreed"))
-def agreement_fast_path(spark: SparkSession, sf: str) -> DataFrame:
-    fused = fusion.fuse(fusion.parent_lists(_found(spark, sf, "rrf")), "parent_id")
-    return fusion.agreed(fused).select("qid", "parent_id", F.round("score", 9).alias("score"))
-
-
-_HIT = """qid, rank, parent_id, parent_text, heading_path, source_path, file_sha256,
-    page_start, page_end, start_char, end_char, child_id, score, confident"""
 _EMIT = """SELECT r.qid AS qid, r.rank AS rank, r.parent_id AS parent_id, text AS parent_text, heading_path, source_path,
     file_sha256, 0 AS page_start, 0 AS page_end, 0 AS start_char, end_char, child_id, round(score, 9) AS score, confident
     FROM ({ranked}) r JOIN parent p ON p.parent_id = r.parent_id"""

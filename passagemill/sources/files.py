@@ -86,6 +86,11 @@ def list_files(
 
         shared = spark.createDataFrame([(f,) for f in folders], "folder string")
         here = here.unionByName(shared.repartition(len(folders)).mapInPandas(walk, _LISTED))
+    return gate_files(here, limits)
+
+
+def gate_files(listed: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """Add media type and sort order; set the ``reason`` of files that are refused unread."""
     mime = F.create_map(*[F.lit(x) for pair in MIMES.items() for x in pair])
     reason = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))
@@ -94,7 +99,7 @@ def list_files(
     if importlib.util.find_spec("pdfplumber") is None:
         reason = reason.when(F.col("suffix") == ".pdf", "pdfplumber is not installed")
     # Paths sort folder by folder, as their parts do.
-    return here.withColumn("mime", mime[F.col("suffix")]).withColumn("reason", reason).withColumn(
+    return listed.withColumn("mime", mime[F.col("suffix")]).withColumn("reason", reason).withColumn(
         "path_order", F.translate("path", "/", "\x01")
     )
 
