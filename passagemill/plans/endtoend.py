@@ -11,6 +11,7 @@ from passagemill.operators.blocks import assign_offsets
 from passagemill.operators.lexical import bm25_postings_topk
 from passagemill.operators.topk import scratch_path
 from passagemill.plans import common as C
+from passagemill.plans import texts  # noqa: F401 - defines the SQL of the chunker
 from passagemill.streaming.ingest import stream_blocks
 
 QUERIES = {}
