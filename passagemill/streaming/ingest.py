@@ -34,6 +34,7 @@ def stream_folder(
     names = "*.{" + ",".join(s[1:] for s in MIMES) + "}"
     found = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", names)
         .option("maxFilesPerTrigger", files_per_batch)
