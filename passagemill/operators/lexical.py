@@ -42,11 +42,45 @@ def corpus_stats(chunks: DataFrame, text: str = "embed_text") -> DataFrame:
 
 
 def postings(chunks: DataFrame, text: str = "embed_text") -> DataFrame:
-    """Inverted rows (term, chunk_id, doc_id, dl, tf, positions)."""
-    rows = tokenized(chunks, text).select("chunk_id", "doc_id", "dl", F.posexplode("terms").alias("pos", "term"))
-    return rows.groupBy("chunk_id", "doc_id", "dl", "term").agg(
-        F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")
+    """Inverted rows (term, chunk_id, doc_id, dl, tf, positions).
+
+    All terms of a passage are in its row, so they are grouped inside the task,
+    a batch at a time; nothing is shuffled.
+    """
+    source = tokenized(chunks, text).select("chunk_id", "doc_id", "terms")
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
+    schema = (
+        f"chunk_id {kinds['chunk_id']}, doc_id {kinds['doc_id']}, dl bigint, term string, tf bigint, "
+        "positions array<int>"
     )
+    return source.mapInArrow(_invert, schema)
+
+
+def _invert(batches):
+    for batch in batches:
+        terms = batch.column("terms")
+        size = pc.list_value_length(terms).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = terms.flatten().dictionary_encode()
+        if len(coded) == 0:
+            continue
+        row = np.repeat(np.arange(len(terms)), size)
+        position = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        key = row * len(coded.dictionary) + coded.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+        edges = np.r_[first, len(order)]
+        lead = order[first]
+        owner = pa.array(row[lead])
+        yield pa.RecordBatch.from_pydict({
+            "chunk_id": batch.column("chunk_id").take(owner),
+            "doc_id": batch.column("doc_id").take(owner),
+            "dl": pa.array(size[row[lead]]),
+            "term": coded.dictionary.take(coded.indices.take(pa.array(lead))),
+            "tf": pa.array(np.diff(edges)),
+            "positions": pa.ListArray.from_arrays(
+                pa.array(edges.astype(np.int32)), pa.array(position[order].astype(np.int32))
+            ),
+        })
 
 
 def query_units(queries: DataFrame) -> DataFrame:

@@ -18,6 +18,10 @@ from passagemill.schemas import HIT_COLUMNS, LIMITS, NO_CONFIDENT_HIT, QueryErro
 
 Encoder = Callable[[Column], Column]
 
+# Up to this many queries read stored postings; a larger batch meets most terms
+# anyway and is cheaper to score in one scan of the passages.
+LOOKUP_BATCH = 32
+
 
 @dataclass
 class Corpus:
@@ -73,7 +77,7 @@ def search_legs(
         vectors = queries.withColumn("vector", encode(F.col("q")))
         dense = dense_topk(corpus.children, vectors, limits.dense_k)
     if mode != "dense":
-        if corpus.inverted is not None:
+        if corpus.inverted is not None and queries.limit(LOOKUP_BATCH + 1).count() <= LOOKUP_BATCH:
             hits = bm25_postings_topk(
                 corpus.inverted, corpus.stats, queries, limits.lexical_k, corpus.buckets
             )
