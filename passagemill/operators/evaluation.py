@@ -69,20 +69,15 @@ def rank_one_scores(golden: DataFrame, rerank_hits: DataFrame) -> DataFrame:
 def fit_tau(scores: DataFrame, keep: float = LIMITS.tau_keep) -> DataFrame:
     """The score that keeps ``keep`` of the values, from the top; no row if there are none.
 
-    The scores are one per golden query, counted first and ranked by a global
-    order statistic; ``percentile_disc`` would be off by one at n = 20.
+    It is the value at index n - ceil(keep * n) in ascending order.  Asked for as a
+    fraction half a place past that index it is exact, while ``1 - keep`` itself
+    would be off by one at n = 20.
     """
     n = scores.count()
     if n == 0:
         return scores.select(F.col("score").alias("tau"))
-    skip = n - math.ceil(keep * n)
-    counted = scores.groupBy("score").agg(F.count("*").alias("n"))
-    w = Window.orderBy("score")
-    # Distinct scores of a golden set; range-sorted in one task by the window.
-    upto = counted.withColumn("_upto", F.sum("n").over(w))
-    return upto.where((F.col("_upto") > skip) & (F.col("_upto") - F.col("n") <= skip)).select(
-        F.col("score").alias("tau")
-    )
+    place = (n - math.ceil(keep * n) + 0.5) / n
+    return scores.agg(F.expr(f"percentile_disc({place!r}D) WITHIN GROUP (ORDER BY score)").alias("tau"))
 
 
 def pick_live(scores: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 An ingest writes its rows under a new generation and commits it last, so a lost
 run leaves nothing visible and is simply run again.  A document's live rows are
-those of its latest generation; older ones are filtered out by a small list of
-superseded (doc_id, generation) pairs until ``compact`` rewrites the tables.
+those of its latest generation; an ingest that replaces it lists the older ones in
+a small table of superseded (doc_id, generation) pairs, filtered out until ``compact`` rewrites the tables.
 Tables read by id are partitioned by a hash bucket of that id and postings by a
 bucket of the term, so that a lookup opens few partitions.
 """
@@ -33,7 +33,6 @@ class Index:
         self.buckets = buckets
         self.last = self.base = 0
         self.dim: int | None = None
-        self._dead: DataFrame | None = None
         self.refresh()
 
     # --- state ------------------------------------------------------------------------
@@ -49,7 +48,6 @@ class Index:
     def refresh(self) -> None:
         """Read which generations are committed and check the index is ours."""
         commits = self._read("commits")
-        self._dead = None
         if commits is None:
             return
         head = commits.agg(
@@ -86,17 +84,15 @@ class Index:
         newest = F.max_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), "gen").alias("_row")
         return rows.groupBy("doc_id").agg(newest).select("doc_id", "_row.*")
 
-    def _superseded(self) -> DataFrame:
-        if self._dead is None:
-            rows, newest = self.table("files").select("doc_id", "gen"), self.files().select("doc_id", F.col("gen").alias("live"))
-            self._dead = rows.join(newest, "doc_id").where("gen < live").select("doc_id", "gen")
-        return self._dead
+    def superseded_by(self, documents: DataFrame) -> DataFrame:
+        """The live rows the given documents have now, as pairs (doc_id, dead)."""
+        return self.files().join(documents, "doc_id", "left_semi").select("doc_id", F.col("gen").alias("dead"))
 
     def live(self, name: str) -> DataFrame | None:
-        rows = self.table(name)
-        if rows is None or self.last == max(self.base, 1):
+        rows, listed = self.table(name), self.table("superseded")
+        if rows is None or listed is None:
             return rows
-        dead = self._superseded()
+        dead = listed.select("doc_id", F.col("dead").alias("gen"))
         n = dead.limit(MAX_BROADCAST_PAIRS + 1).count()
         if n == 0:
             return rows

@@ -122,6 +122,8 @@ def index_blocks(
         "doc_id", "source_path", "file_sha256", "pipeline_version",
         F.lit(index.model_id).alias("model_id"), F.lit(index.model_revision).alias("model_revision"),
     )
+    if index.exists:
+        index.write("superseded", index.superseded_by(good), gen)
     index.write("files", manifest, gen)
     index.commit(gen, dim)
     return _raise_or(failure, judged)

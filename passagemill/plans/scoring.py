@@ -45,14 +45,15 @@ def _containing(docs: DataFrame, items: DataFrame) -> DataFrame:
         "qid", "q", F.explode(F.array_distinct(F.slice("terms", F.lit(2), F.size("terms") - 2))).alias("term")
     )
     tokens = docs.select("doc_id", F.explode(F.array_distinct(X.index_terms(F.col("text")))).alias("term"))
-    met = cut_lineage(tokens.join(F.broadcast(inner.select("term").distinct()), "term"))
-    frequency = met.groupBy("term").agg(F.count("*").alias("df"))
-    rarest = (
+    # Counted first and joined after, so that frequent words are never written out.
+    wanted = F.broadcast(inner.select("term").distinct())
+    frequency = tokens.join(wanted, "term").groupBy("term").agg(F.count("*").alias("df"))
+    rarest = cut_lineage(
         inner.join(frequency, "term", "left")
         .groupBy("qid", "q")
         .agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
     )
-    pairs = met.join(F.broadcast(rarest), "term").select("qid", "q", "doc_id")
+    pairs = cut_lineage(tokens.join(F.broadcast(rarest), "term").select("qid", "q", "doc_id"))
     found = docs.join(F.broadcast(pairs) if _few(pairs) else pairs, "doc_id").where(F.col("text").contains(F.col("q")))
     short = [(r.qid, r.q) for r in words.where(F.size("terms") <= 2).select("qid", "q").collect()]
     out = found.select("qid", "doc_id")
