@@ -139,6 +139,8 @@ def rank_mode(
     limits=LIMITS,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Ranked parents (qid, rank, parent_id, child_id, score, confident) and abstaining queries."""
+    # One exchange by query; every grouping and window below has the query in its key.
+    found = found.repartition("qid")
     lists = fusion.parent_lists(found)
     fused_children = fusion.fuse(found, "chunk_id", limits.rrf_k)
 
