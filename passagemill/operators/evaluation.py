@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.schemas import LIMITS, MODES, NO_CONFIDENT_HIT
+from passagemill.schemas import LIMITS, NO_CONFIDENT_HIT
 
 # Which mode wins when recall, rank and speed are equal.
 PREFERENCE = {"rerank": 0, "rrf": 1, "cascade": 2, "dense": 3, "bm25": 4}
@@ -117,7 +117,3 @@ def lower_median(samples: DataFrame, groups: list[str], value: str) -> DataFrame
         F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("p50"),
         F.count("*").alias("n"),
     )
-
-
-def mode_order(mode) -> int:
-    return MODES.index(mode)

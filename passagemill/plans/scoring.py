@@ -9,7 +9,6 @@ from passagemill import api
 from passagemill.functions import text as X
 from passagemill.functions.hashing import content_id, hash_vector, text_hash
 from passagemill.operators import evaluation, fusion, ingest, lexical, packaging, retrieval
-from passagemill.operators.blocks import assign_offsets
 from passagemill.operators.index import orphans
 from passagemill.operators.topk import cut_lineage, query_slices, union_all
 from passagemill.plans import common as C
