@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import chat, decontaminate, language, licenses, permutations, sentence_pieces, token_counts, warc
+from passagemill.llm import (
+    chat, decontaminate, language, licenses, ngram_join, permutations, sentence_pieces, token_counts, warc,
+)
 from passagemill.llm.common import crc_fold, cut_lineage, read, scratch_path
 
 
@@ -39,6 +41,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.unionByName(extra)))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 0.8 or more."""
+    return ngram_join.join(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best window of each benchmark item in each document that holds it."""
     return decontaminate.contaminated(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -65,6 +72,7 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_permutation_index": op5_permutation_index,
     "op6_chat_format": op6_chat_format,
+    "op7_ngram_join": op7_ngram_join,
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
