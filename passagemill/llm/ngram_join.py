@@ -15,9 +15,9 @@ with the component it belongs to under these links.
   ``CELLS`` ranges of hashes; all bound the intersection from above and drop no link.
 * **Stars, then the rest.**  Pairs within a posting list are quadratic in its length, and
   a component needs no pair of nodes that it has joined already.  So each list first
-  compares its members with one of them, in ``STARS`` rounds with other centres, and
-  components are contracted in between; only then are the pairs of each list formed whose
-  nodes are still in different components.  No list is cut.
+  compares its members with ``STARS`` of them, and components are contracted; only then
+  are the pairs of each list formed whose nodes are still in different components.  No
+  list is cut.
 * **Verification.**  A candidate pair is kept once and its full sets are intersected exactly.
 
 Links, components and sets stay in Spark; each round writes its tables to the shared
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,10 @@ from passagemill.llm.shingles import WordHashes, shingle_hashes
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Cells of the count table that orders shingles, and ranges of the suffix filter.
 COUNT_BITS, CELLS = 20, 16
-#: Rounds in which a posting list is compared with one centre.
+#: Centres with which the members of a posting list are compared first.
 STARS = 3
+#: Bits of the map by which ids are found in a scan.
+FILTER_BITS = 26
 _CHUNK_BITS = 16
 
 
@@ -78,31 +81,32 @@ def _cells(shingles: np.ndarray) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, n, node) of every row, and the task's shingle counts as further rows (part, counts)."""
+    """(id, n, node, cells) of every row, and the task's shingle counts as further rows (part, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHashes()
         counts = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
         low = np.uint64((1 << COUNT_BITS) - 1)
 
-        def rows(ids, n, node, part, packed):
-            return pa.record_batch(
-                [ids, pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(part, pa.int32()), pa.array(packed, pa.binary())],
-                ["id", "n", "node", "part", "counts"],
-            )
+        def rows(ids, n, node, cells, part, packed):
+            return pa.record_batch([
+                ids, pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(cells, pa.list_(pa.int32())),
+                pa.array(part, pa.int32()), pa.array(packed, pa.binary()),
+            ], ["id", "n", "node", "cells", "part", "counts"])
 
         for part in slices(batches, text):
             sets = shingle_sets(hasher, text_bytes(part.column(text)))
             counts += np.bincount((np.concatenate(sets) & low).astype(np.int64), minlength=len(counts)).astype(np.uint32)
             none = [None] * len(sets)
-            yield rows(part.column(id_column), [len(s) for s in sets], [digest(s) for s in sets], none, none)
+            cells = [_cells(s) if len(s) else None for s in sets]
+            yield rows(part.column(id_column), [len(s) for s in sets], [digest(s) for s in sets], cells, none, none)
         chunks = [(i, c) for i, c in enumerate(counts.reshape(-1, 1 << _CHUNK_BITS)) if c.any()]
         none = [None] * len(chunks)
         packed = [zlib.compress(c.astype("<u4").tobytes(), 1) for _, c in chunks]
-        yield rows(pa.array(none, pa.int64()), none, none, [i for i, _ in chunks], packed)
+        yield rows(pa.array(none, pa.int64()), none, none, none, [i for i, _ in chunks], packed)
 
     rows = docs.select(F.col(id_column).cast("bigint").alias(id_column), F.col(text).cast("string").alias(text))
-    return rows.mapInArrow(run, "id bigint, n bigint, node binary, part int, counts binary")
+    return rows.mapInArrow(run, "id bigint, n bigint, node binary, cells array<int>, part int, counts binary")
 
 
 def _order_table(keys: DataFrame) -> np.ndarray:
@@ -175,24 +179,42 @@ def _shared_postings(postings: DataFrame) -> DataFrame:
     return marked.where(F.col("many") & (F.col("before").isNull() | (F.col("before") != F.col("node")))).drop("before", "many")
 
 
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A bit per hash of the ids, of fixed size."""
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)) + 1
+    parts = ids.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket"))
+    bits = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    for bucket, part in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h"))).collect():
+        bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(part, dtype=np.uint8)
+    return bits
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(node, cells, shingles) of the wanted (id, node) rows."""
+    """(node, shingles) of the wanted (id, node) rows, and perhaps of some that are not wanted.
+
+    The ids pass through a bitmap of fixed size, so that the texts need not be shuffled to
+    find some of them; what it lets through besides is never asked for."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHashes()
-        for part in slices(batches, text):
-            sets = [s for s in shingle_sets(hasher, text_bytes(part.column(text))) if len(s)]
-            if sets:
-                cells = to_list_array(np.concatenate([_cells(s) for s in sets]).astype(np.int32), np.full(len(sets), CELLS))
-                shingles = to_list_array(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]))
-                yield pa.record_batch([pa.array([digest(s) for s in sets], pa.binary()), cells, shingles], ["node", "cells", "shingles"])
+        hasher, seen = WordHashes(), set()
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            chosen = batch.filter(pa.array((shared.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
+            for part in slices(iter([chosen]), text):
+                sets = [(digest(s), s) for s in shingle_sets(hasher, text_bytes(part.column(text)))]
+                sets = list({d: s for d, s in sets if d is not None and d not in seen}.items())
+                seen.update(d for d, _ in sets)
+                if sets:
+                    shingles = to_list_array(np.concatenate([s for _, s in sets]).view(np.int64), np.array([len(s) for _, s in sets]))
+                    yield pa.record_batch([pa.array([d for d, _ in sets], pa.binary()), shingles], ["node", "shingles"])
 
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).cast("string").alias(text))
-    # By id and, where the id is unknown, by nothing but the set that is computed again.
-    ids = wanted.select("id").distinct()
-    texts = rows.join(ids, rows["id"].eqNullSafe(ids["id"]), "left_semi").select(text)
-    made = texts.mapInArrow(run, "node binary, cells array<int>, shingles array<bigint>")
-    return made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("h"), text)
+    made = cut_lineage(rows.mapInArrow(run, "node binary, shingles array<bigint>"))
+    # A node can come from several tasks if rows repeat an id.
+    repeated = not made.groupBy("node").count().where("count > 1").isEmpty()
+    return made.dropDuplicates(["node"]) if repeated else made
 
 
 def _least_overlap(a: Column, b: Column) -> Column:
@@ -207,19 +229,22 @@ def _may_link(size_a: Column, size_b: Column, place_a: Column, place_b: Column)
     return length & (at_most >= _least_overlap(size_a, size_b))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) pairs, each once, that link."""
-    cells = sets.select("node", "cells")
-    left = cells.select(F.col("node").alias("a"), F.col("cells").alias("ca"))
-    right = cells.select(F.col("node").alias("b"), F.col("cells").alias("cb"))
-    spread = pairs.distinct().join(left, "a").join(right, "b")
+def _spread_alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Suffix filter: the (a, b) pairs whose sets are spread over the ranges so that they may link."""
+    left = nodes.select(F.col("node").alias("a"), F.col("cells").alias("ca"))
+    right = nodes.select(F.col("node").alias("b"), F.col("cells").alias("cb"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
     common = total(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)))
-    spread = spread.where(common >= _least_overlap(total(F.col("ca")), total(F.col("cb")))).select("a", "b")
+    joined = pairs.join(left, "a").join(right, "b")
+    return joined.where(common >= _least_overlap(total(F.col("ca")), total(F.col("cb")))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) pairs that link, by their whole sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    joined = spread.join(left, "a").join(right, "b")
     both = F.size(F.array_intersect("sa", "sb"))
+    joined = pairs.join(left, "a").join(right, "b")
     return joined.where(DENOMINATOR * both >= NUMERATOR * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
@@ -242,13 +267,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels after the (label, label) links are taken in; nodes without a label are their own."""
-    merged = components(links)
+    """Labels after more (node, node) links are taken in."""
     if labels is None:
-        return merged
-    moved = merged.select(F.col("node").alias("label"), F.col("label").alias("moved"))
-    old = labels.join(moved, "label", "left").select("node", F.coalesce("moved", "label").alias("label"))
-    return cut_lineage(old.unionByName(merged.join(labels, "node", "left_anti").select("node", "label")))
+        return components(links)
+    old = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b")
+    return components(links.unionByName(old))
 
 
 def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -264,7 +287,7 @@ def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     """Each node of a list with the list's centre of this round."""
     order = Window.partitionBy("shingle").orderBy(F.xxhash64("node", F.lit(turn)), "node")
     centre = F.first(F.struct("node", "size", "place", "label")).over(order)
-    starred = rows.withColumn("c", centre).where("label != c.label")
+    starred = rows.withColumn("c", centre).where("node != c.node")
     starred = starred.where(_may_link(F.col("size"), F.col("c.size"), F.col("place"), F.col("c.place")))
     return _pairs(starred.select(F.col("node").alias("x"), F.col("c.node").alias("y")))
 
@@ -287,33 +310,32 @@ def _pairs(df: DataFrame) -> DataFrame:
 def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     keys = cut_lineage(_keys(docs, id_column, text))
-    rows = keys.where("part is null").select("id", "n", "node")
+    rows = keys.where("part is null").select("id", "n", "node", "cells")
     postings = cut_lineage(_shared_postings(_postings(docs, _order_table(keys), text)))
     classes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
-    nodes = postings.select("node").distinct()
-    sets = cut_lineage(_sets(docs, classes.join(nodes, "node"), id_column, text))
-    labels, checked = None, None
-    for turn in range(STARS + 1):
-        open_rows = _labelled(postings, labels)
-        pairs = _star_pairs(open_rows, turn) if turn < STARS else _rest_pairs(open_rows)
-        if checked is not None:  # no pair is verified twice
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs.distinct())
-        links = cut_lineage(_verified(pairs, sets))
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        if links.isEmpty():
-            continue
-        if labels is not None:
-            for side in ("a", "b"):
-                name = labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
-                links = links.join(name, side, "left").withColumn(side, F.coalesce(f"{side}_label", side)).drop(f"{side}_label")
+    posted = postings.select("node").distinct()
+    nodes = rows.join(posted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("cells").alias("cells"))
+    nodes = cut_lineage(nodes)
+
+    def links_among(pairs: DataFrame) -> DataFrame:
+        """Each candidate pair kept once, filtered and verified."""
+        pairs = cut_lineage(_spread_alike(pairs.distinct(), nodes))
+        used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return cut_lineage(_verified(pairs, _sets(docs, nodes.join(used, "node", "left_semi"), id_column, text)))
+
+    stars = [_star_pairs(_labelled(postings, None), turn) for turn in range(STARS)]
+    links = links_among(reduce(DataFrame.unionByName, stars))
+    labels = None if links.isEmpty() else components(links)
+    links = links_among(_rest_pairs(_labelled(postings, labels)))
+    if not links.isEmpty():
         labels = _relabel(labels, links)
+    named = rows.select("id", "n", "node")
     if labels is None:
-        named = rows.join(classes.select("node", F.col("id").alias("least")), "node", "left")
+        named = named.join(classes.select("node", F.col("id").alias("least")), "node", "left")
     else:
         group = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         least = group.groupBy("label").agg(F.min("id").alias("least"))
-        named = rows.join(group.join(least, "label").select("node", "least"), "node", "left")
+        named = named.join(group.join(least, "label").select("node", "least"), "node", "left")
     return named.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
