@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm.common import slices, text_bytes
-from passagemill.llm.shingles import WordHashes, shingle_hashes
+from passagemill.llm.shingles import shingle_hashes, word_hashes
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 RADIUS, BLOCKS, BLOCK_BITS = 20, 4, 16
@@ -81,14 +81,13 @@ def _neighbours(bits: int, radius: int) -> np.ndarray:
 
 def prepare(items: list[tuple]) -> Benchmark:
     """The benchmark's shingles, fingerprints and block tables from (id, text) pairs."""
-    hasher = WordHashes()
     ids, words, hashes = [], [], []
     for item_id, text in items:
-        found = (text or "").encode().lower().split()
+        found, _ = word_hashes([(text or "").encode()])
         if len(found) >= SHINGLE:
             ids.append(item_id)
             words.append(len(found))
-            hashes.append(shingle_hashes(hasher.of(found), SHINGLE))
+            hashes.append(shingle_hashes(found, SHINGLE))
     if sum(words) > MOST_ITEM_WORDS:
         raise ValueError(f"a benchmark of {sum(words)} words is too large to hold in every task; split it into runs")
     flat = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
@@ -180,11 +179,10 @@ def match_document(bench: Benchmark, hashes: np.ndarray, at: np.ndarray, place:
     ]
 
 
-def _leaks(bench: Benchmark, hasher: WordHashes, raws: list[bytes]) -> Iterator[tuple[int, list[tuple]]]:
+def _leaks(bench: Benchmark, raws: list[bytes]) -> Iterator[tuple[int, list[tuple]]]:
     """(place in ``raws``, matches) of the texts that match something."""
-    words = [raw.lower().split() for raw in raws]
-    lengths = np.array([len(w) for w in words], dtype=np.int64)
-    flat = shingle_hashes(hasher.of([w for doc in words for w in doc]), SHINGLE)
+    words, lengths = word_hashes(raws)
+    flat = shingle_hashes(words, SHINGLE)
     if not len(flat) or not len(bench.ids):
         return
     at = np.flatnonzero(bench.maybe[(flat & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
@@ -215,9 +213,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     shared = docs.sparkSession.sparkContext.broadcast(load_benchmark(benchmark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHashes()
         for part in slices(batches, text):
-            rows = [(i, *match) for i, found in _leaks(shared.value, hasher, text_bytes(part.column(text))) for match in found]
+            rows = [(i, *match) for i, found in _leaks(shared.value, text_bytes(part.column(text))) for match in found]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             column = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.record_batch(
@@ -237,10 +234,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(load_benchmark(benchmark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHashes()
         for part in slices(batches, text):
             keep = np.ones(part.num_rows, dtype=bool)
-            keep[[i for i, _ in _leaks(shared.value, hasher, text_bytes(part.column(text)))]] = False
+            keep[[i for i, _ in _leaks(shared.value, text_bytes(part.column(text)))]] = False
             yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.llm.common import cut_lineage, slices, text_bytes, to_list_array
-from passagemill.llm.shingles import WordHashes, shingle_hashes
+from passagemill.llm.shingles import shingle_hashes, word_hashes
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Cells of the count table that orders shingles, and ranges of the suffix filter.
@@ -53,21 +52,20 @@ FILTER_BITS = 26
 _CHUNK_BITS = 16
 
 
-def shingle_sets(hasher: WordHashes, raws: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(raws: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingles of each text."""
-    words = [raw.lower().split() for raw in raws]
-    lengths = [len(w) for w in words]
-    hashes = hasher.of([w for doc in words for w in doc])
-    flat = shingle_hashes(hashes, n)
+    words, lengths = word_hashes(raws)
+    flat = shingle_hashes(words, n)
     out, start = [], 0
-    for length in lengths:
+    for length in lengths.tolist():
         if length >= n:
-            out.append(np.unique(flat[start : start + length - n + 1]))
+            own = np.sort(flat[start : start + length - n + 1])
+            fresh = own[1:] != own[:-1]
+            out.append(own if fresh.all() else own[np.concatenate([[True], fresh])])
         elif length:
-            own = hashes[start : start + length]
-            out.append(shingle_hashes(own, length))
+            out.append(shingle_hashes(words[start : start + length], length))
         else:
-            out.append(np.zeros(0, dtype=np.uint64))
+            out.append(flat[:0])
         start += length
     return out
 
@@ -84,7 +82,6 @@ def _keys(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """(id, n, node, cells) of every row, and the task's shingle counts as further rows (part, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHashes()
         counts = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
         low = np.uint64((1 << COUNT_BITS) - 1)
 
@@ -95,7 +92,7 @@ def _keys(docs: DataFrame, id_column: str, text: str) -> DataFrame:
             ], ["id", "n", "node", "cells", "part", "counts"])
 
         for part in slices(batches, text):
-            sets = shingle_sets(hasher, text_bytes(part.column(text)))
+            sets = shingle_sets(text_bytes(part.column(text)))
             counts += np.bincount((np.concatenate(sets) & low).astype(np.int64), minlength=len(counts)).astype(np.uint32)
             none = [None] * len(sets)
             cells = [_cells(s) if len(s) else None for s in sets]
@@ -140,10 +137,10 @@ def _postings(docs: DataFrame, counts: np.ndarray, text: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, low, seen = WordHashes(), np.uint64((1 << COUNT_BITS) - 1), set()
+        low, seen = np.uint64((1 << COUNT_BITS) - 1), set()
         for part in slices(batches, text):
             prefixes, nodes, sizes = [], [], []
-            for own in shingle_sets(hasher, text_bytes(part.column(text))):
+            for own in shingle_sets(text_bytes(part.column(text))):
                 node = digest(own)
                 if node is None or node in seen:
                     continue
@@ -197,12 +194,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text: str) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = WordHashes(), set()
+        seen = set()
         for batch in batches:
             h = batch.column("h").to_numpy()
             chosen = batch.filter(pa.array((shared.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
             for part in slices(iter([chosen]), text):
-                sets = [(digest(s), s) for s in shingle_sets(hasher, text_bytes(part.column(text)))]
+                sets = [(digest(s), s) for s in shingle_sets(text_bytes(part.column(text)))]
                 sets = list({d: s for d, s in sets if d is not None and d not in seen}.items())
                 seen.update(d for d, _ in sets)
                 if sets:
@@ -223,9 +220,13 @@ def _least_overlap(a: Column, b: Column) -> Column:
 
 
 def _may_link(size_a: Column, size_b: Column, place_a: Column, place_b: Column) -> Column:
-    """Length and positional filter for a shingle that both have at these places."""
+    """Length and positional filter for a shingle that both have at these places.
+
+    The pair is found at each prefix shingle that both have, and one time is enough: taken as
+    the first, it leaves no more common shingles than follow it in the shorter rest.  Where
+    that is too few, the pair does not link or is found at the shingle that is the first."""
     length = F.least(size_a, size_b).cast("bigint") * DENOMINATOR >= F.greatest(size_a, size_b).cast("bigint") * NUMERATOR
-    at_most = F.least(place_a, place_b) + 1 + F.least(size_a - place_a, size_b - place_b) - 1
+    at_most = F.least(size_a - place_a, size_b - place_b)
     return length & (at_most >= _least_overlap(size_a, size_b))
 
 
@@ -283,11 +284,18 @@ def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.withColumn("open", F.min("label").over(every) != F.max("label").over(every)).where("open").drop("open")
 
 
-def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Each node of a list with the list's centre of this round."""
-    order = Window.partitionBy("shingle").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-    centre = F.first(F.struct("node", "size", "place", "label")).over(order)
-    starred = rows.withColumn("c", centre).where("node != c.node")
+def _star_pairs(postings: DataFrame) -> DataFrame:
+    """Each node of a list with the list's centres: the nodes that share most of their prefix.
+
+    Near copies of one text each have rare shingles of their own in their prefix, which the
+    text itself has not; so it shares more than they do and is the centre that joins them."""
+    shared = postings.groupBy("node").agg(F.count("*").alias("shared"), F.first("size").alias("of"))
+    ranked = postings.join(shared.select("node", (F.col("shared") / F.col("of")).alias("share")), "node")
+    order = Window.partitionBy("shingle").orderBy(F.desc("share"), F.xxhash64("node"), "node")
+    until = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = F.struct("node", "size", "place")
+    starred = ranked.select("*", F.array(*(F.nth_value(here, k + 1).over(until) for k in range(STARS))).alias("centres"))
+    starred = starred.select("node", "size", "place", F.explode("centres").alias("c")).where("c is not null and node != c.node")
     starred = starred.where(_may_link(F.col("size"), F.col("c.size"), F.col("place"), F.col("c.place")))
     return _pairs(starred.select(F.col("node").alias("x"), F.col("c.node").alias("y")))
 
@@ -323,8 +331,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
         used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         return cut_lineage(_verified(pairs, _sets(docs, nodes.join(used, "node", "left_semi"), id_column, text)))
 
-    stars = [_star_pairs(_labelled(postings, None), turn) for turn in range(STARS)]
-    links = links_among(reduce(DataFrame.unionByName, stars))
+    links = links_among(_star_pairs(postings))
     labels = None if links.isEmpty() else components(links)
     links = links_among(_rest_pairs(_labelled(postings, labels)))
     if not links.isEmpty():
