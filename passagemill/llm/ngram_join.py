@@ -44,7 +44,7 @@ from passagemill.llm.shingles import shingle_hashes, word_hashes
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Cells of the count table that orders shingles, and ranges of the suffix filter.
-COUNT_BITS, CELLS = 20, 16
+COUNT_BITS, CELLS = 20, 128
 #: Centres with which the members of a posting list are compared first.
 STARS = 3
 #: Bits of the map by which ids are found in a scan.
@@ -75,7 +75,7 @@ def digest(shingles: np.ndarray) -> bytes | None:
 
 
 def _cells(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(60)).astype(np.int64), minlength=CELLS)
+    return np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=CELLS)
 
 
 def _keys(docs: DataFrame, id_column: str, text: str) -> DataFrame:
