@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.llm import (
-    chat, decontaminate, language, licenses, ngram_join, permutations, sentence_pieces, token_counts, warc,
+    chat, decontaminate, language, licenses, maxent, ngram_join, permutations, sentence_pieces, token_counts, warc,
 )
 from passagemill.llm.common import crc_fold, cut_lineage, read, scratch_path
 
@@ -22,6 +22,14 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability under models learnt outside one fold of the ids."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    held_out = crc_fold("doc_id", 7, 2)
+    scored = maxent.score(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence evidence of every document."""
     return licenses.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -69,6 +77,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sentence_pieces": op2_sentence_pieces,
+    "op3_maxent_lm": op3_maxent_lm,
     "op4_license_scan": op4_license_scan,
     "op5_permutation_index": op5_permutation_index,
     "op6_chat_format": op6_chat_format,

@@ -31,13 +31,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ASCII-lower-cased words of all texts, in order, and how many each text has."""
+    return word_hashes_and_tails(raws)[:2]
+
+
+def word_hashes_and_tails(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``word_hashes``, and the last two bytes of each word (the first of them is white space if it has one)."""
     sizes = np.array([len(raw) + 1 for raw in raws], dtype=np.int64)
     data = np.frombuffer(b"\n" + b"\n".join(raws).lower() + b"\n", dtype=np.uint8)
     space = _SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(raws), dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(raws), dtype=np.int64), np.zeros(0, dtype=np.uint16)
     power, inverse = _powers(1 << max(21, int(len(data) - 1).bit_length()))
     running = data.astype(np.uint64)
     running += np.uint64(1)
@@ -46,7 +51,8 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     hashes = (running[ends - 1] - running[starts - 1]) * inverse[starts]
     hashes = mix64(hashes + (ends - starts).astype(np.uint64) * np.uint64(_STEP))
     bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]) + 1)
-    return hashes, np.diff(bounds)
+    tails = data[ends - 1].astype(np.uint16) << np.uint16(8) | data[ends - 2]
+    return hashes, np.diff(bounds), tails
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
