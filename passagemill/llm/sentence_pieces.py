@@ -281,8 +281,10 @@ def decode(encoded: DataFrame, key: str = "doc_id", column: str = "pieces", mode
 
 def round_trip(
     docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, sharpness: float = SHARPNESS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``encode`` with a column ``lossless``: whether decoding the pieces gives the text back."""
+    """``encode`` with the columns ``carry`` of the input and a column ``lossless``: whether
+    decoding the pieces gives the text back."""
     with open(model, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -293,19 +295,19 @@ def round_trip(
             seeds = part.column("_seed").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             ids, counts = sample(vocabulary, ["" if t is None else t for t in texts], seeds)
             counts = counts.astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            flat = list(map(vocabulary.decoded.__getitem__, ids.tolist()))
-            same = [
-                t is None or b"".join(flat[a:b])[1:] == t.encode()
-                for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist())
-            ]
+            ends = np.cumsum(counts).tolist()
+            same, start = [], 0
+            for t, end in zip(texts, ends):
+                same.append(t is None or decode_ids(vocabulary, ids[start:end].tolist()) == t)
+                start = end
             lists = to_list_array(ids.astype(np.int32), counts)
             lists = pa.compute.if_else(part.column(text).is_null(), pa.scalar(None, lists.type), lists)
             yield pa.record_batch(
-                [part.column(key), pa.array(counts), lists, pa.array(same)], [key, "n_pieces", "pieces", "lossless"]
+                [part.column(c) for c in (key, *carry)] + [pa.array(counts), lists, pa.array(same, pa.bool_())],
+                [key, *carry, "n_pieces", "pieces", "lossless"],
             )
 
-    rows = docs.select(F.col(key), F.col(text).cast("string").alias(text))
+    rows = docs.select(key, *carry, F.col(text).cast("string").alias(text))
     rows = rows.withColumn("_seed", F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("0"))))
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, n_pieces bigint, pieces array<int>, lossless boolean")
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *carry))
+    return rows.mapInArrow(run, f"{kinds}, n_pieces bigint, pieces array<int>, lossless boolean")
