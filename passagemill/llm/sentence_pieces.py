@@ -171,43 +171,51 @@ def sample(vocabulary: Pieces, texts: list[str], seeds: np.ndarray) -> tuple[np.
     begin = begin - row_begin[row]  # ... and in the row's own text
     seed = seeds[row]
 
-    out_chunk, out_step, out_id, out_code = [], [], [], []
+    # Distinct chunks of about one length are filtered together, so many at a time that they stay in cache.
+    groups: list[np.ndarray] = []
     width_class = np.where(length <= 6, 6, np.where(length <= 10, 10, 2 ** np.ceil(np.log2(np.maximum(length, 11))).astype(np.int64)))
-    by_chunk = np.argsort(chunk, kind="stable")
-    occurs_from = np.searchsorted(chunk[by_chunk], np.arange(len(names) + 1))
-    for width in np.unique(width_class):
-        width_all = np.flatnonzero(width_class == width)
-        step = max(1, _CELLS // (int(width) * min(int(width), vocabulary.longest)))
-        for lo in range(0, len(width_all), step):
-            members = width_all[lo : lo + step]
-            widest = int(length[members].max())
-            padded = np.zeros((len(members), widest), dtype=np.uint32)
-            inside = np.arange(widest) < length[members][:, None]
-            padded[inside] = codes[_ranges(first[members], length[members])]
-            share, ids = vocabulary.lattice(padded)
-            most = share.shape[2]
-            share, ids = share.reshape(-1, most), ids.reshape(-1, most)
-            here = by_chunk[_ranges(occurs_from[members], occurs_from[members + 1] - occurs_from[members])]
-            local = np.repeat(np.arange(len(members)), occurs_from[members + 1] - occurs_from[members])
-            at = length[chunk[here]].copy()
-            k = 0
-            while len(here):
-                cell = local * widest + at - 1
-                draw = mix64(seed[here] ^ mix64((begin[here] + at).astype(np.uint64) * _PRIME))
-                u = (draw >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-                take = np.minimum((share[cell] <= u[:, None]).sum(axis=1), most - 1)
-                got = ids[cell, take]
-                out_chunk.append(here), out_step.append(np.full(len(here), k)), out_id.append(got)
-                out_code.append(np.where(got < 0, padded[local, at - 1], 0))
-                at = at - take - 1
-                on = at > 0
-                here, local, at = here[on], local[on], at[on]
-                k += 1
+    for width in np.unique(width_class).tolist():
+        members = np.flatnonzero(width_class == width)
+        step = max(1, _CELLS // (width * min(width, vocabulary.longest)))
+        groups += [members[lo : lo + step] for lo in range(0, len(members), step)]
+    group_of, local_of = np.empty(len(names), dtype=np.int64), np.empty(len(names), dtype=np.int64)
+    for g, members in enumerate(groups):
+        group_of[members], local_of[members] = g, np.arange(len(members))
+    groups_at = group_of[chunk].astype(np.uint16 if len(groups) < 1 << 16 else np.int64)  # short integers sort by radix
+    by_group = np.argsort(groups_at, kind="stable")
+    bounds = np.searchsorted(groups_at[by_group], np.arange(len(groups) + 1))
+
+    out_chunk, out_step, out_id, out_code = [], [], [], []
+    for g, members in enumerate(groups):
+        widest = int(length[members].max())
+        padded = np.zeros((len(members), widest), dtype=np.uint32)
+        padded[np.arange(widest) < length[members][:, None]] = codes[_ranges(first[members], length[members])]
+        share, ids = vocabulary.lattice(padded)
+        most = share.shape[2]
+        share, ids = share.reshape(-1, most), ids.reshape(-1, most)
+        here = by_group[bounds[g] : bounds[g + 1]]
+        local = local_of[chunk[here]]
+        at = length[chunk[here]]
+        k = 0
+        while len(here):
+            cell = local * widest + at - 1
+            draw = mix64(seed[here] ^ mix64((begin[here] + at).astype(np.uint64) * _PRIME))
+            u = (draw >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+            take = np.minimum((share.take(cell, axis=0) <= u[:, None]).sum(axis=1), most - 1)
+            got = ids[cell, take]
+            out_chunk.append(here), out_step.append(np.full(len(here), k)), out_id.append(got)
+            out_code.append(np.where(got < 0, padded[local, at - 1], 0))
+            at = at - take - 1
+            on = np.flatnonzero(at > 0)
+            here, local, at = here[on], local[on], at[on]
+            k += 1
     chunk_at, step_at = np.concatenate(out_chunk), np.concatenate(out_step)
-    piece, code = np.concatenate(out_id), np.concatenate(out_code)
-    # Steps run from the end of a chunk; put pieces in reading order.
-    order = np.argsort(chunk_at * (int(step_at.max()) + 1) + (int(step_at.max()) - step_at), kind="stable")
-    piece, code, chunk_at = piece[order], code[order], chunk_at[order]
+    # Steps run from the end of a chunk: put pieces in reading order.
+    per_chunk = np.bincount(chunk_at, minlength=len(chunk))
+    place = np.cumsum(per_chunk)[chunk_at] - 1 - step_at
+    piece, code = np.empty(len(place), dtype=np.int32), np.empty(len(place), dtype=np.uint32)
+    piece[place], code[place] = np.concatenate(out_id), np.concatenate(out_code)
+    chunk_at = np.repeat(np.arange(len(chunk)), per_chunk)
     row_at = row[chunk_at]
     spelled = np.flatnonzero(piece < 0)
     if not len(spelled):
