@@ -82,13 +82,13 @@ def member(record: bytes) -> bytes:
     return (packed if packed[-1] == 0 else packed + _EMPTY)[:-1]
 
 
-def revisit_targets(pages: DataFrame, total: int) -> DataFrame:
+def revisit_targets(pages: DataFrame, total: int, parts: int) -> DataFrame:
     """(page_id, url, payload, payload_bytes, sha1, target): the page that each row's payload
     is stored with, or null.
 
     Digests are grouped and counted first inside tasks.  Payloads with a large share of the
-    ``total`` rows are few by construction and are joined by broadcast; the others by key,
-    among which rows that cannot match are dealt by their page.
+    ``total`` rows are few by construction and are joined by broadcast; the others by key, in
+    ``parts`` partitions, among which rows that cannot match are dealt by their page.
     """
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
@@ -106,6 +106,8 @@ def revisit_targets(pages: DataFrame, total: int) -> DataFrame:
     alone = F.col("key").isNull() | F.col("often").isNotNull()
     rows = rows.withColumn("key", F.when(alone, F.xxhash64("page_id", "url").cast("string")).otherwise(F.col("key")))
     target = F.coalesce("often", "seldom")
+    # The one exchange of payloads: it serves the join and sizes the files.
+    rows = rows.repartition(parts, "key", "size")
     return rows.join(seldom, ["key", "size"], "left").select(
         "page_id", "url", "payload", "payload_bytes", "sha1", F.when(target != F.col("page_id"), target).alias("target")
     )
@@ -121,8 +123,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
             yield pa.record_batch([pa.array([member(build_record(*row)) for row in zip(*columns)], pa.binary())], ["record"])
 
     files = max(1, -(-(volume or 0) // FILE_BYTES))
-    rows = revisit_targets(pages, total).select("page_id", "url", "payload", "sha1", "target")
-    records = rows.repartition(files).mapInArrow(run, "record binary")
+    rows = revisit_targets(pages, total, files).select("page_id", "url", "payload", "sha1", "target")
+    records = rows.mapInArrow(run, "record binary")
     records.select(F.col("record").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(path)
 
 
