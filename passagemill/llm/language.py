@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import slices, text_bytes
+from passagemill.llm.common import cut_lineage, slices, text_bytes
 
 BUCKETS = 8192
 #: Labelled rows per language that clustering may see, centroids per language and rounds.
 SAMPLE, CENTROIDS, ROUNDS = 1500, 3, 8
+#: More distinct labels than this are refused; it bounds what is broadcast.
+MOST_LANGUAGES = 10_000
 #: Rejection: below this share of the sample's lowest cosine at the text's length; texts of
 #: fewer than 2**JUDGED n-grams say too little to be rejected for their distance.
 SLACK, JUDGED = 0.4, 7
@@ -140,10 +142,12 @@ def fit(
     )
     frequency, n = _document_frequency(rows, "text")
     idf = (np.log((1.0 + n) / (1.0 + frequency)) + 0.1).astype(np.float32)
-    sizes = rows.groupBy("label").agg(F.count("*").alias("rows"))
+    sizes = cut_lineage(rows.groupBy("label").agg(F.count("*").alias("rows")))
+    if sizes.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} distinct labels: these are not languages")
     # About `sample` rows of each language: those whose hash falls under the language's share.
     chance = (F.xxhash64(F.col("id").cast("string"), F.lit("sample")) / 2.0**64 + 0.5) < sample / F.col("rows")
-    drawn = rows.join(sizes, "label").where(chance).select("label", "id", "text")
+    drawn = rows.join(F.broadcast(sizes), "label").where(chance).select("label", "id", "text")
 
     def learn_language(table: pa.Table) -> pa.Table:
         order = np.argsort(np.array(table.column("id").cast(pa.string()).to_pylist()), kind="stable")
