@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOTS, PREFIX = 512, 160
+PIVOTS, PREFIX = 512, 64
 #: Vectors and queries per block; sample from which pivots are drawn.
 BLOCK, QUERY_BLOCK, SAMPLE = 8192, 1024, 4096
 #: Share of a block that is compared exactly, by smallest footrule.
-SHARE = 0.2
+SHARE = 0.4
 
 
 def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -137,6 +137,9 @@ def search(
             x, qx = x.reshape(len(ids), -1), qx.reshape(len(qids), -1)
             orders, qorders = orders.reshape(len(ids), -1).astype(np.int64), qorders.reshape(len(qids), -1).astype(np.int64)
             files = Postings(orders, len(shared.value))
+            # A rough product finds what may be among the best; single precision where it can hold the values.
+            real, error = (np.float32, 1e-5) if largest < 1e30 else (np.float64, 1e-9)
+            rough_x = x.astype(real)
             small = np.int16 if prefix * prefix < 1 << 15 else np.int64  # short integers sort by radix
             keep = min(len(ids), max(4 * k + 1, int(np.ceil(share * len(ids)))))
             for qid, q, order in zip(qids, qx, qorders):
@@ -144,9 +147,9 @@ def search(
                 # Rows lie in the order of their ids, so a stable sort gives ties to the smaller id.
                 near = np.argsort(distance.astype(small), kind="stable")[:keep]
                 near = near[ids[near] != qid]
-                rough = x[near] @ q
-                if len(near) > k:  # what rounding may put among the best, then summed in one fixed order
-                    slack = 1e-9 * np.sqrt(largest * (q @ q))
+                if len(near) > k:
+                    rough = rough_x.take(near, axis=0) @ q.astype(real)
+                    slack = error * np.sqrt(largest * (q @ q))
                     near = near[rough >= np.partition(rough, len(near) - k)[len(near) - k] - slack]
                 exact = (x[near] * q).sum(axis=1)
                 best = np.lexsort((ids[near], -exact))[:k]
