@@ -20,7 +20,7 @@ from passagemill.operators.topk import cut_lineage, scratch_path
 __all__ = ["crc_fold", "cut_lineage", "mix64", "read", "scratch_path", "slices", "text_bytes", "to_list_array"]
 
 #: Bytes of text that a task works on at a time (a longer single text is a slice of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -48,6 +48,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()  # workers live on: what a batch took goes back
 
 
 def text_bytes(array: pa.Array) -> list[bytes]:

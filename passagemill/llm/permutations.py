@@ -84,7 +84,7 @@ def search(
     n, largest = int(facts[0]), float(facts[1] or 0.0)
     n_queries = asked.count()
     sample = rows.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(SAMPLE).collect()  # SAMPLE rows at most
-    base = np.array([r["v"] for r in sample], dtype=np.float64).reshape(len(sample), -1)
+    base = np.array([r["v"] for r in sample], dtype=np.float64).reshape(len(sample), len(sample[0]["v"]) if sample else 1)
 
     def lift(x: np.ndarray, query: bool) -> np.ndarray:
         square = np.einsum("ij,ij->i", x, x)

@@ -42,7 +42,7 @@ _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _TABLE_BITS = 20
 _CELLS = 200_000
 #: Bytes of text per slice: bounds the lattice held at a time.
-SLICE = 4 << 20
+SLICE = 3 << 20
 
 
 class Pieces:

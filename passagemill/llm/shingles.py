@@ -18,7 +18,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse."""
     both = []
@@ -43,7 +43,7 @@ def word_hashes_and_tails(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), np.zeros(len(raws), dtype=np.int64), np.zeros(0, dtype=np.uint16)
-    power, inverse = _powers(1 << max(21, int(len(data) - 1).bit_length()))
+    power, inverse = _powers(1 << max(20, int(len(data) - 1).bit_length()))
     running = data.astype(np.uint64)
     running += np.uint64(1)
     running *= power[: len(data)]
