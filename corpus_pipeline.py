@@ -39,7 +39,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sampled pieces of each document, with its language and source, and whether they decode to its text."""
     ship(spark)
-    return sentence_pieces.round_trip(docs, carry=("lang", "source"))
+    return sentence_pieces.round_trip(docs, carry=("lang", "source"), slice_bytes=1 << 20)
 
 
 STAGES = [

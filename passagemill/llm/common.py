@@ -7,6 +7,7 @@ memory of a task does not depend on how Spark batches its rows.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-        pa.default_memory_pool().release_unused()  # workers live on: what a batch took goes back
+        _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
 
 
 def text_bytes(array: pa.Array) -> list[bytes]:
