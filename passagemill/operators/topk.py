@@ -139,7 +139,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession) -> str:
     """A new name in the folder the cluster shares for intermediate tables."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own_folder()
     return f"{folder.rstrip('/')}/passagemill-{uuid.uuid4().hex}"
 
 
