@@ -36,7 +36,7 @@ def ask(
     if not text or not text.strip():
         raise QueryError("empty query")
     rows = index.spark.createDataFrame([(0, text, doc_id)], "qid bigint, q string, doc_filter string")
-    return retrieval.retrieve(index.corpus(), rows, mode, reranker, encode)
+    return retrieval.retrieve(index.corpus(reranker), rows, mode, reranker, encode)
 
 
 def time_modes(corpus, golden: DataFrame, encode=_query_vector, reranker=rerank.keyword_overlap, modes=MODES) -> DataFrame:
@@ -80,13 +80,14 @@ def evaluate(
         corpus.tau = tau
         if save_tau is not None:
             save_tau(tau)
-    answers["cascade"] = retrieval.retrieve(corpus, asked, "cascade", reranker, encode, found)
+    ordered = answers["rerank"].ordered
+    answers["cascade"] = retrieval.retrieve(corpus, asked, "cascade", reranker, encode, found, ordered=ordered)
     hits = status = None
     for answer in answers.values():
         hits = answer.hits if hits is None else hits.unionByName(answer.hits)
         status = answer.status if status is None else status.unionByName(answer.status)
     graded = evaluation.grade(golden, hits, status)
-    return evaluation.roll_up(graded, timings), tau, answers
+    return cut_lineage(evaluation.roll_up(graded, timings)), tau, answers
 
 
 def report(scores: DataFrame, tau: float | None, span: tuple[float | None, int] = (None, 0)) -> dict:

@@ -10,13 +10,16 @@ bucket of the term, so that a lookup opens few partitions.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.operators.lexical import postings
+from passagemill.operators.rerank import Reranker, keyword_overlap, scorer_name
 from passagemill.operators.retrieval import Corpus
-from passagemill.schemas import LIMITS, IngestError, tau_key
+from passagemill.schemas import LIMITS, IngestError
 
 KEYED = {"parents": "parent_id", "children": "chunk_id", "postings": "term"}
 MAX_BROADCAST_PAIRS = 200_000
@@ -60,8 +63,8 @@ class Index:
         ):
             raise IngestError(
                 self.path,
-                f"index was built with {own.model_id}@{own.model_revision} pipeline "
-                f"{own.pipeline_version}; delete the index directory to rebuild",
+                f"its vectors come from {own.model_id} revision {own.model_revision}, version "
+                f"{own.pipeline_version} of the pipeline; remove the folder and ingest again",
             )
         self.last, self.base, self.dim, self.buckets = head.last, head.base, head.dim, own.buckets
 
@@ -103,17 +106,21 @@ class Index:
 
     # --- thresholds -------------------------------------------------------------------
 
-    def get_tau(self) -> float | None:
+    def _tau_of(self, reranker: Reranker) -> str:
+        """A threshold holds for one encoder and one scorer."""
+        return json.dumps([self.model_id, self.model_revision, scorer_name(reranker)])
+
+    def get_tau(self, reranker: Reranker = keyword_overlap) -> float | None:
         rows = self._read("tau")
         if rows is None:
             return None
-        mine = rows.where(F.col("tau_key") == tau_key(self.model_id, self.model_revision))
+        mine = rows.where(F.col("tau_key") == self._tau_of(reranker))
         return mine.agg(F.max_by("tau", "seq").alias("tau")).collect()[0].tau
 
-    def set_tau(self, value: float) -> None:
+    def set_tau(self, value: float, reranker: Reranker = keyword_overlap) -> None:
         rows = self._read("tau")
         seq = 0 if rows is None else rows.agg(F.max("seq")).collect()[0][0] + 1
-        row = [(tau_key(self.model_id, self.model_revision), float(value), seq)]
+        row = [(self._tau_of(reranker), float(value), seq)]
         self.spark.createDataFrame(row, "tau_key string, tau double, seq bigint").coalesce(1).write.mode(
             "append"
         ).parquet(f"{self.path}/tau")
@@ -146,8 +153,8 @@ class Index:
         if self.dim is not None and self.dim != dim:
             raise IngestError(
                 self.path,
-                f"index vectors are {self.dim}-wide and this encoder is {dim}-wide; "
-                "delete the index directory to rebuild",
+                f"it holds vectors of {self.dim} numbers, the encoder makes {dim}; "
+                "remove the folder and ingest again",
             )
 
     def write_postings(self, children: DataFrame, gen: int) -> None:
@@ -165,7 +172,7 @@ class Index:
 
     # --- reading ----------------------------------------------------------------------
 
-    def corpus(self) -> Corpus:
+    def corpus(self, reranker: Reranker = keyword_overlap) -> Corpus:
         """What a search reads.  A missing index is empty, and reading never creates it."""
         if not self.exists:
             raise IngestError(self.path, "no index here")
@@ -173,7 +180,7 @@ class Index:
         stats = children.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         return Corpus(
             children, self.live("parents"), inverted=self.live("postings"), stats=stats,
-            tau=self.get_tau(), buckets=self.buckets,
+            tau=self.get_tau(reranker), buckets=self.buckets,
         )
 
 

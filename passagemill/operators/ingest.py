@@ -68,6 +68,8 @@ def index_blocks(
     ``fail_fast`` the documents before the first refused one are indexed and then
     its reason is raised; otherwise refused ones are reported and the rest indexed.
     """
+    if not sources.groupBy("doc_id").count().where("count > 1").isEmpty():
+        raise IngestError(index.path, "a document comes twice in one batch")
     blocks = cut_lineage(blocks)
     readable = blocks.where(~S.is_unreadable(F.col("kind")))
     cut = cut_lineage(passages(readable, count, limits))
@@ -108,7 +110,7 @@ def index_blocks(
     cache = written if cache is None else cache.drop("gen").unionByName(written)
     widths = written.agg(F.min(F.size("vector")), F.max(F.size("vector"))).collect()[0]
     if widths[0] != widths[1]:
-        raise IngestError(index.path, "embedding width changed inside one batch")
+        raise IngestError(index.path, "the encoder made vectors of different lengths")
     dim = widths[0] if widths[0] is not None else index.dim
     index.check_dim(dim)
     vectors = attach_vectors(children, cache, index.model_id, index.model_revision)
@@ -116,7 +118,7 @@ def index_blocks(
     index.write("parents", parent_rows(cut).join(origin, "doc_id").select(*PARENT_COLUMNS), gen)
     stored = index.spark.read.parquet(f"{index.path}/children/gen={gen}")
     if stored.where(F.col("vector").isNull()).limit(1).count():
-        raise IngestError(index.path, "encoder returned the wrong number of vectors")
+        raise IngestError(index.path, "the encoder left texts without a vector")
     index.write_postings(stored, gen)
     manifest = origin.select(
         "doc_id", "source_path", "file_sha256", "pipeline_version",

@@ -13,6 +13,12 @@ from passagemill.schemas import LIMITS
 Reranker = Callable[[Column, Column], Column]
 
 
+def scorer_name(reranker: Reranker) -> str:
+    """What a threshold is kept under: ``scorer_id`` of the hook, else where it is defined."""
+    named = getattr(reranker, "scorer_id", None)
+    return named or f"{getattr(reranker, '__module__', '')}.{getattr(reranker, '__qualname__', repr(type(reranker)))}"
+
+
 def keyword_overlap(query: Column, text: Column) -> Column:
     """Deterministic scorer: number of distinct lower-case words in common."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[\\p{L}\\p{N}_]+"), 0)

@@ -54,6 +54,7 @@ class Retrieval:
     hits: DataFrame
     status: DataFrame
     legs: DataFrame | None = field(default=None, repr=False)
+    ordered: DataFrame | None = field(default=None, repr=False)
 
 
 def batch(queries: DataFrame) -> DataFrame:
@@ -137,8 +138,11 @@ def rank_mode(
     reranker: rerank.Reranker | None,
     hint,
     limits=LIMITS,
-) -> tuple[DataFrame, DataFrame | None]:
-    """Ranked parents (qid, rank, parent_id, child_id, score, confident) and abstaining queries."""
+    ordered: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Ranked parents (qid, rank, parent_id, child_id, score, confident), abstaining queries and
+    all parents as the reranker ordered them.  Pairs are scored once and written; ``ordered``
+    takes over those of another mode."""
     # One exchange by query; every grouping and window below has the query in its key.
     found = found.repartition("qid")
     lists = fusion.parent_lists(found)
@@ -151,34 +155,35 @@ def rank_mode(
         )
 
     if mode == "dense":
-        return listed(fusion.list_scores(lists, fusion.DENSE), False), None
+        return listed(fusion.list_scores(lists, fusion.DENSE), False), None, None
     if mode == "bm25":
-        return listed(fusion.list_scores(lists, fusion.LEXICAL), False), None
+        return listed(fusion.list_scores(lists, fusion.LEXICAL), False), None, None
     fused_parents = fusion.fuse(lists, "parent_id", limits.rrf_k)
     if mode == "rrf":
-        return listed(fused_parents, False), None
+        return listed(fused_parents, False), None, None
     if reranker is None:
         raise QueryError("reranker is not available")
 
-    def reranked(asked: DataFrame, children: DataFrame) -> DataFrame:
-        return rerank.rescore(rerank_pairs(corpus, asked, children, found, hint, limits), reranker)
+    def reranked(children: DataFrame) -> DataFrame:
+        return cut_lineage(rerank.rescore(rerank_pairs(corpus, queries, children, found, hint, limits), reranker))
 
     columns = ["qid", "rank", "parent_id", "child_id", "score", "confident"]
     if mode == "rerank":
-        top = reranked(queries, fused_children).where(F.col("rank") <= limits.max_parents)
-        return top.withColumn("confident", F.lit(False)).select(*columns), None
+        ordered = reranked(fused_children) if ordered is None else ordered
+        top = ordered.where(F.col("rank") <= limits.max_parents)
+        return top.withColumn("confident", F.lit(False)).select(*columns), None, ordered
     # Agreed queries leave here, so the reranker never sees them.
-    slow_children, fast = fused_children, None
+    fast, slow_only = None, lambda rows: rows
     if mode == "cascade":
         winners = fusion.agreed(fused_parents, limits.agree_top, limits.fast_gap)
         fast = listed(winners.withColumn("rank", F.lit(1)), True)
-        slow_children = fused_children.join(winners.select("qid"), "qid", "left_anti")
-    ordered = reranked(queries, slow_children)
+        slow_only = lambda rows: rows.join(winners.select("qid"), "qid", "left_anti")
+    ordered = reranked(slow_only(fused_children)) if ordered is None else slow_only(ordered)
     abstained = rerank.below_threshold(ordered, corpus.tau)
     slow = rerank.apply_band(
         ordered.join(abstained, "qid", "left_anti"), limits.score_band, limits.max_parents
     ).select(*columns)
-    return (slow if fast is None else slow.unionByName(fast.select(*columns))), abstained
+    return (slow if fast is None else slow.unionByName(fast.select(*columns))), abstained, ordered
 
 
 def retrieve(
@@ -189,11 +194,12 @@ def retrieve(
     encode: Encoder = lambda q: hash_vector(q, query=True),
     found: DataFrame | None = None,
     limits=LIMITS,
+    ordered: DataFrame | None = None,
 ) -> Retrieval:
     """Answer a batch of queries (qid, q[, doc_filter]).
 
     The candidate lists are small and shared by every later step, so they are
-    materialised once; pass ``found`` to reuse those of another mode.
+    materialised once; pass ``found`` and ``ordered`` to reuse those of another mode.
     """
     queries = batch(queries)
     require_text(queries)
@@ -202,7 +208,7 @@ def retrieve(
         found = cut_lineage(search_legs(corpus, queries, mode, encode, limits))
     if mode in ("dense", "bm25"):
         found = found.where(F.col("leg") == (fusion.DENSE if mode == "dense" else fusion.LEXICAL))
-    ranked, abstained = rank_mode(corpus, queries, found, mode, reranker, hint, limits)
+    ranked, abstained, ordered = rank_mode(corpus, queries, found, mode, reranker, hint, limits, ordered)
     hits = emit(corpus, ranked, mode, hint)
     status = queries.select("qid", F.lit(mode).alias("mode"))
     if abstained is None:
@@ -210,4 +216,4 @@ def retrieve(
     else:
         marked = abstained.withColumn("reason", F.lit(NO_CONFIDENT_HIT))
         status = status.join(marked, "qid", "left").fillna("", ["reason"])
-    return Retrieval(hits, status, found)
+    return Retrieval(hits, status, found, ordered)

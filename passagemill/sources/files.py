@@ -42,10 +42,15 @@ def _describe(path: str, root: str, index_dir: str) -> dict | None:
     if index_dir and Path(real).is_relative_to(index_dir):
         return None
     if not Path(real).is_relative_to(root):
-        return row | {"reason": "path escapes the ingest folder"}
+        return row | {"reason": "leads out of the folder"}
     return row | {"doc_id": Path(real).relative_to(root).as_posix()}
 
 
+def _unlisted(error: OSError) -> None:
+    """A folder that cannot be listed stops the listing, on the driver and in a task alike."""
+    raise error
+
+
 def list_files(
     spark: SparkSession, path: str, index_dir: str = "", limits: Limits = LIMITS
 ) -> DataFrame:
@@ -78,7 +83,7 @@ def list_files(
                 for folder in frame["folder"]:
                     rows = [
                         row
-                        for base, _, names in os.walk(folder)
+                        for base, _, names in os.walk(folder, onerror=_unlisted)
                         for name in names
                         if (row := _describe(os.path.join(base, name), root, index_real))
                     ]
@@ -94,7 +99,7 @@ def gate_files(listed: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     mime = F.create_map(*[F.lit(x) for pair in MIMES.items() for x in pair])
     reason = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))
-        .when(F.col("size") > limits.max_file_bytes, "file exceeds 50 MB")
+        .when(F.col("size") > limits.max_file_bytes, "larger than a file may be")
     )
     if importlib.util.find_spec("pdfplumber") is None:
         reason = reason.when(F.col("suffix") == ".pdf", "pdfplumber is not installed")

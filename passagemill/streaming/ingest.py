@@ -7,63 +7,61 @@ so replays do not double anything.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from passagemill.functions.hashing import hash_vector, text_hash
 from passagemill.operators.index import Index
-from passagemill.operators.ingest import HASH_MODEL, HASH_REVISION, index_blocks, ingest_listed, split_unchanged
-from passagemill.schemas import LIMITS, MIMES, Limits
-from passagemill.sources.files import gate_files
+from passagemill.operators.ingest import HASH_MODEL, HASH_REVISION, index_blocks, ingest, split_unchanged
+from passagemill.operators.topk import cut_lineage
+from passagemill.schemas import LIMITS, Limits
 
 
 def stream_folder(
     spark: SparkSession, path: str, index_dir: str, checkpoint: str,
-    encode: Callable[[Column], Column] = hash_vector, limits: Limits = LIMITS, files_per_batch: int = 10_000,
+    encode: Callable[[Column], Column] = hash_vector, limits: Limits = LIMITS, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Index what is in a folder and, under a longer trigger, what arrives later.
+    """Bring the index up to date with a folder at every tick of ``trigger`` (default: once).
 
-    Refused files are reported under ``reports`` in the index and do not stop the
-    stream.  Names starting with an underscore are not seen by the file source.
+    A tick lists the folder as ``ingest`` does, with the same gates and ids, and the manifest
+    tells what is new or has changed; so what a file source would not show (hidden folders,
+    leading underscores, changed files) is seen as well.  Indexed and refused files of each
+    tick are rows under ``reports`` in the index; refused ones do not stop the stream.
     """
-    root = os.path.realpath(path)
-    names = "*.{" + ",".join(s[1:] for s in MIMES) + "}"
-    found = (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length bigint, content binary")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", names)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(root)
-        .select("path", "length")
-    )
-
-    def batch(rows: DataFrame, number: int) -> None:
-        real = F.url_decode(F.regexp_replace("path", "^file:/*", "/"))
-        name = F.substring_index(real, "/", -1)
-        listed = rows.select(
-            real.alias("path"), real.alias("real"), F.substring(real, len(root) + 2, 1 << 30).alias("doc_id"),
-            name.alias("filename"), F.lower(F.concat(F.lit("."), F.substring_index(name, ".", -1))).alias("suffix"),
-            F.col("length").alias("size"), F.lit(None).cast("string").alias("reason"),
-        )
-        report = ingest_listed(gate_files(listed, limits), index_dir, encode, limits=limits, fail_fast=False)
-        report.write.mode("overwrite").parquet(f"{index_dir}/reports/batch={number}")
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+
+    def batch(tick: DataFrame, number: int) -> None:
+        report = ingest(tick.sparkSession, path, index_dir, encode, limits=limits, fail_fast=False)
+        report.where("status <> 'skipped'").write.mode("overwrite").parquet(f"{index_dir}/reports/batch={number}")
+
+    return _started(ticks.writeStream.foreachBatch(batch), checkpoint, trigger)
+
 
-    return found.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def newest(rows: DataFrame, version: Column) -> DataFrame:
+    """One row per ``doc_id``: that of the largest ``version`` (nulls last), then of the largest digest and row."""
+    rest = F.struct(*[c for c in rows.columns if c != "doc_id"])
+    order = F.struct(version.isNotNull(), version, text_hash(F.col("text")), rest)
+    return rows.groupBy("doc_id").agg(F.max_by(rest, order).alias("_row")).select("doc_id", "_row.*")
 
 
 def stream_blocks(
     rows: DataFrame, to_blocks: Callable[[DataFrame], DataFrame], index_dir: str, checkpoint: str,
     encode: Callable[[Column], Column] = hash_vector, limits: Limits = LIMITS,
+    version: Column | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Index a stream of texts (doc_id, text, filename, mime) that ``to_blocks`` turns into blocks."""
+    """Index a stream of texts (doc_id, text, filename, mime) that ``to_blocks`` turns into blocks.
+
+    Of the rows of one document in a micro-batch, that of the largest ``version`` counts; a
+    later micro-batch replaces what an earlier one stored.
+    """
+    version = F.lit(0) if version is None else version
 
     def batch(part: DataFrame, number: int) -> None:
         index = Index(part.sparkSession, index_dir, HASH_MODEL, HASH_REVISION, limits.pipeline_version)
+        part = cut_lineage(newest(part, version))
         sources = part.select(
             "doc_id", F.col("doc_id").alias("path"), F.col("doc_id").alias("path_order"), "filename", "mime",
             text_hash(F.col("text")).alias("file_sha256"),
@@ -72,4 +70,8 @@ def stream_blocks(
         texts = part.join(changed.select("doc_id"), "doc_id", "left_semi")
         index_blocks(index, changed.drop("skipped"), to_blocks(texts), encode, limits=limits, fail_fast=False)
 
-    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _started(rows.writeStream.foreachBatch(batch), checkpoint, trigger)
+
+
+def _started(writer: DataStreamWriter, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
