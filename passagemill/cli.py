@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import functions as F
@@ -26,22 +27,34 @@ def _parser() -> argparse.ArgumentParser:
     command.add_argument("text")
     command.add_argument("--index", required=True)
     command.add_argument("--doc")
-    command.add_argument("--mode", default="cascade")
+    command.add_argument("--mode", help="default: the mode that the last eval chose, else cascade")
     command = commands.add_parser("eval", help="score a golden set of JSON lines")
     command.add_argument("--index", required=True)
     command.add_argument("--golden", required=True)
-    command.add_argument("--report", help="also write the scores to this JSON file")
+    command.add_argument("--report", help="JSON file for the scores; default: in the index, where query finds its mode")
     command.add_argument("--timed", action="store_true", help="measure the latency of each query")
     return parser
 
 
+def _report_path(index_dir: str) -> str:
+    return os.path.join(index_dir, "report.json")
+
+
+def live_mode(index_dir: str) -> str:
+    """The mode chosen by the report kept in the index; without one, the cascade."""
+    if not os.path.exists(_report_path(index_dir)):
+        return "cascade"
+    with open(_report_path(index_dir), encoding="utf-8") as handle:
+        return json.load(handle)["live_mode"]
+
+
 def _query(spark, args) -> str:
     if not args.text.strip():
         raise QueryError("empty query")
     index = api.open_index(spark, args.index)
     if not index.exists:
         return "no hits"
-    answer = api.ask(index, args.text, args.doc, args.mode)
+    answer = api.ask(index, args.text, args.doc, args.mode or live_mode(args.index))
     reason = answer.status.collect()[0].reason
     if reason:
         return reason
@@ -56,9 +69,8 @@ def _evaluate(spark, args) -> str:
     timings = api.time_modes(corpus, golden) if args.timed else None
     scores, tau, _ = api.evaluate(corpus, golden, timings=timings, save_tau=index.set_tau)
     result = api.report(scores, tau)
-    if args.report:
-        with open(args.report, "w", encoding="utf-8") as handle:
-            json.dump(result, handle, indent=2)
+    with open(args.report or _report_path(args.index), "w", encoding="utf-8") as handle:
+        json.dump(result, handle, indent=2)
     lines = [
         f"{s['mode']:10} {s['kind']:10} recall@5={s['recall']:.2f} mrr={s['mrr']:.2f} "
         f"abstain={s['abstain']:.2f} p50={s['p50']:.0f}ms n={s['n']}"

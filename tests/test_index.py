@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagemill import api
-from passagemill.cli import main
+from passagemill.cli import live_mode, main
 from passagemill.functions.hashing import hash_vector
 from passagemill.operators.ingest import ingest
 from passagemill.operators.rerank import keyword_overlap
@@ -151,6 +151,10 @@ def test_command_line(spark, docs, tmp_path, capsys):
     out = capsys.readouterr().out
     assert "bm25       lexical    recall@5=1.00 mrr=1.00 abstain=0.00" in out and "live=" in out
     assert saved.exists() and api.open_index(spark, home).get_tau() is not None
+    assert live_mode(home) == "cascade"
+    (tmp_path / "index" / "report.json").write_text('{"live_mode": "bm25"}', encoding="utf-8")
+    assert main(["query", "KT-5521-M", "--index", home], spark) == 0
+    assert capsys.readouterr().out.startswith("1.0000  uncertain  guide.md  Parts  p.-  chars ")
 
 
 def test_a_threshold_belongs_to_its_scorer(spark, docs, tmp_path):
