@@ -114,6 +114,60 @@ def test_language_model_base_is_exact_and_score_is_a_probability(spark, docs, em
     assert maxent.score(docs, F.lit(False)).where("n_known > 0").count() == 0
 
 
+def _brute_language_model(texts, held_out):
+    """log10 probabilities of the texts by plain dictionaries, and the model as a function."""
+    split = lambda t: (t or "").encode().lower().split() + [None]
+    c1, c2, c3 = collections.Counter(), collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    skip = collections.defaultdict(collections.Counter)
+    for i, t in texts:
+        if not held_out(i):
+            words = [None, None, *split(t)]
+            for a, b, w in zip(words, words[1:], words[2:]):
+                c1[w] += 1
+                c2[b][w] += 1
+                skip[a][w] += 1
+                c3[a, b][w] += 1
+    share = lambda w: (c1[w] + 1) / (sum(c1.values()) + len([w for w in c1 if c1[w]]) + 1)
+
+    def p(counts, base, w):
+        n = sum(counts.values())
+        if not n:
+            return base(w)
+        if w in counts:
+            return (counts[w] - maxent.DISCOUNT) / n
+        return maxent.DISCOUNT * len(counts) / n * base(w) / (1 - sum(base(x) for x in counts))
+
+    def model(a, b, w):
+        base = lambda x: (p(c2.get(b, {}), share, x) + p(skip.get(a, {}), share, x)) / 2
+        return p(c3.get((a, b), {}), base, w)
+
+    def score(t):
+        words = [None, None, *split(t)]
+        return sum(math.log10(model(a, b, w)) for a, b, w in zip(words, words[1:], words[2:]))
+
+    return score, model, set(c1)
+
+
+def test_language_model_equals_plain_dictionaries_and_sums_to_one(spark):
+    rng = np.random.default_rng(11)
+    texts = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, size=int(rng.integers(1, 30))) % 40)) for i in range(80)] + [(900, None)]
+    held_out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    score, model, known = _brute_language_model(texts, held_out)
+    for r in maxent.score(table(spark, texts).repartition(3), ~crc_fold("doc_id", 7, 2)).collect():
+        assert r.score == pytest.approx(score(dict(texts)[r.doc_id]))
+    for a, b in ((None, None), (None, b"w1"), (b"w1", b"w2"), (b"w1", b"unknown"), (b"unknown", b"unknown")):
+        assert sum(model(a, b, w) for w in [*known, b"never"]) == pytest.approx(1)
+
+
+def test_language_model_tells_any_two_words_apart_by_their_history(spark):
+    filler = " ".join(f"f{k}" for k in range(200))  # more words than any fixed number of frequent ones had room for
+    texts = [(i, filler) for i in range(8)] + [(10 + i, "red mapple") for i in range(4)] + [(20 + i, "blue dimple") for i in range(4)]
+    texts += [(30, "red mapple"), (31, "red dimple"), (32, "blue dimple"), (33, "blue mapple")]
+    rows = {r.doc_id: r for r in maxent.score(table(spark, texts), F.col("doc_id") < 30).collect()}
+    assert rows[30].base_score == pytest.approx(rows[31].base_score)
+    assert rows[30].score > rows[31].score + 0.3 and rows[32].score > rows[33].score + 0.3
+
+
 def test_licence_phrases_and_expressions(spark, docs, empty):
     raw = b"Under the MIT\n  License. Apache--License!\nSPDX-License-Identifier: (GPL-2.0 OR MIT) AND Apache-2.0 WITH exc-1\n"
     n_words, n_base, first, last, base, labels, expressions, permissive, score = licenses.scan_text(raw)
