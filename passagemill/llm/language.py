@@ -3,11 +3,11 @@
 A text is a vector of hashed byte n-grams (runs of letters, ASCII case folded), weighted
 by TF-IDF and normalised.  Each language has several centroids, clustered by cosine from
 a bounded sample of labelled rows; a text gets the language of its nearest centroid, and
-is rejected when even that one is further away than nearly all training texts of a
-similar length are from theirs.
+is rejected when even that one is further away than all but ``REJECTED`` of the training
+texts of that language and a similar length are from theirs.
 
-Document frequencies cover all training rows; only clustering uses a sample, of about
-``SAMPLE`` rows per language chosen by a hash of the id.
+Document frequencies and the bounds of rejection cover all training rows; only clustering
+uses a sample, of about ``SAMPLE`` rows per language chosen by a hash of the id.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and is
 rejected; without any training row every text is ``und``; ties go to the language that
@@ -17,7 +17,7 @@ sorts first; rows with a null language or null id are never learnt from.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,10 @@ BUCKETS = 8192
 SAMPLE, CENTROIDS, ROUNDS = 1500, 3, 8
 #: More distinct labels than this are refused; it bounds what is broadcast.
 MOST_LANGUAGES = 10_000
-#: Rejection: below this share of the sample's lowest cosine at the text's length; texts of
-#: fewer than 2**JUDGED n-grams say too little to be rejected for their distance.
-SLACK, JUDGED = 0.4, 7
+#: Rejection: below this quantile of the training rows' cosines, counted in this many bins.  Where
+#: a language has fewer than 1 / REJECTED rows of a length, shorter ones are counted with them; where
+#: those are too few as well, the rows of all languages; fewer rows than that tell no quantile.
+REJECTED, BINS = 0.002, 4096
 #: Cosines are compared within classes of length: powers of two of the n-gram count.
 LENGTHS = 24
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], dtype=np.uint32)
@@ -78,10 +79,10 @@ class Model:
     owner: np.ndarray  # centroid -> language
     centroids: np.ndarray
     idf: np.ndarray
-    floor: np.ndarray  # least cosine by class of length
+    floor: np.ndarray  # least cosine by language and class of length
 
-    def predict(self, raws: list[bytes]) -> list[tuple[str, float, bool]]:
-        out: list[tuple[str, float, bool]] = [("und", 0.0, True)] * len(raws)
+    def nearest(self, raws: list[bytes]) -> Iterator[tuple[int, int, float, int]]:
+        """(row, language, cosine, class of length) of the texts that can be judged."""
         known = [i for i, raw in enumerate(raws) if self.languages and has_letter(raw)]
         for lo in range(0, len(known), 512):
             part = known[lo : lo + 512]
@@ -90,7 +91,12 @@ class Model:
             for i, c, row in zip(part, counts, near):
                 best = int(np.argmax(row))
                 score = float(min(1.0, max(0.0, row[best])))
-                out[i] = (self.languages[self.owner[best]], score, score < self.floor[_length_class(c)])
+                yield i, int(self.owner[best]), score, _length_class(c)
+
+    def predict(self, raws: list[bytes]) -> list[tuple[str, float, bool]]:
+        out: list[tuple[str, float, bool]] = [("und", 0.0, True)] * len(raws)
+        for i, language, score, length in self.nearest(raws):
+            out[i] = (self.languages[language], score, score < self.floor[language, length])
         return out
 
 
@@ -133,6 +139,46 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centroids
 
 
+def lowest(counts: np.ndarray) -> list[float | None]:
+    """Per class of length the cosine below which at most ``REJECTED`` of the counted rows lie, from
+    counts by (class, bin); none where the class and all shorter ones have too few rows."""
+    out: list[float | None] = []
+    for length in range(LENGTHS):
+        pool = np.zeros(BINS + 1, dtype=np.int64)
+        for c in range(length, -1, -1):
+            pool += counts[c]
+            if pool.sum() * REJECTED >= 1:
+                break
+        enough = pool.sum() * REJECTED >= 1
+        out.append(int(np.argmax(np.cumsum(pool) > REJECTED * pool.sum())) / BINS if enough else None)
+    return out
+
+
+def _floors(rows: DataFrame, model: Model) -> np.ndarray:
+    """The bounds of rejection by (language, class of length), from all rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            found = [(language, length * (BINS + 1) + int(score * BINS)) for _, language, score, length in shared.value.nearest(text_bytes(part.column("text")))]
+            places, times = np.unique(np.array(found, dtype=np.int64).reshape(-1, 2), axis=0, return_counts=True)
+            yield pa.record_batch([pa.array(places[:, 0]), pa.array(places[:, 1]), pa.array(times.astype(np.int64))], ["language", "place", "n"])
+
+    def bound(table: pa.Table) -> pa.Table:
+        counts = np.zeros(LENGTHS * (BINS + 1), dtype=np.int64)
+        counts[table.column("place").to_numpy()] = table.column("n").to_numpy()
+        return pa.table({"language": table.column("language").slice(0, 1), "floor": pa.array([lowest(counts.reshape(LENGTHS, -1))], pa.list_(pa.float64()))})
+
+    counted = rows.select("text").mapInArrow(run, "language bigint, place bigint, n bigint").groupBy("language", "place").agg(F.sum("n").alias("n"))
+    counted = cut_lineage(counted)
+    pooled = counted.groupBy("place").agg(F.sum("n").alias("n")).select(F.lit(-1).cast("bigint").alias("language"), "place", "n")
+    found = counted.unionByName(pooled).groupBy("language").applyInArrow(bound, "language bigint, floor array<double>")
+    floors = dict(found.collect())  # a row per language
+    every = floors.get(-1, [None] * LENGTHS)
+    own = [floors.get(k, [None] * LENGTHS) for k in range(len(model.languages))]
+    return np.array([[next((x for x in pair if x is not None), 0.0) for pair in zip(row, every)] for row in own])
+
+
 def fit(
     docs: DataFrame, learn: Column, id_column: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE,
 ) -> Model:
@@ -152,32 +198,23 @@ def fit(
     def learn_language(table: pa.Table) -> pa.Table:
         order = np.argsort(np.array(table.column("id").cast(pa.string()).to_pylist()), kind="stable")
         raws = [raw for raw in text_bytes(table.column("text").combine_chunks().take(pa.array(order))) if has_letter(raw)]
-        names, arrays, floors = [], [], []
+        names, arrays = [], []
         if raws:
-            counts = [term_counts(raw) for raw in raws]
-            vectors = np.stack([vector(c, idf) for c in counts])
-            centroids = cluster(vectors, CENTROIDS)
-            score = (vectors @ centroids.T).max(axis=1)
-            lengths = np.array([_length_class(c) for c in counts])
-            floor = [float(score[lengths == c].min()) if (lengths == c).any() else 2.0 for c in range(LENGTHS)]
+            centroids = cluster(np.stack([vector(term_counts(raw), idf) for raw in raws]), CENTROIDS)
             names = [table.column("label")[0].as_py()] * len(centroids)
             arrays = [c.astype(np.float32).tobytes() for c in centroids]
-            floors = [floor] * len(centroids)
-        return pa.table({"label": pa.array(names, pa.string()), "centroid": pa.array(arrays, pa.binary()), "floor": pa.array(floors, pa.list_(pa.float64()))})
+        return pa.table({"label": pa.array(names, pa.string()), "centroid": pa.array(arrays, pa.binary())})
 
-    learnt = drawn.groupBy("label").applyInArrow(learn_language, "label string, centroid binary, floor array<double>")
+    learnt = drawn.groupBy("label").applyInArrow(learn_language, "label string, centroid binary")
     found = sorted(learnt.collect(), key=lambda r: (r["label"], r["centroid"]))  # languages x CENTROIDS rows
     languages = sorted({r["label"] for r in found})
     if not found:
-        return Model([], np.zeros(0, dtype=int), np.zeros((0, BUCKETS), dtype=np.float32), idf, np.zeros(LENGTHS))
-    floor = np.min([r["floor"] for r in found], axis=0)
-    # Lengths that the sample has not got take over the bound of the next shorter ones.
-    for c in range(LENGTHS):
-        floor[c] = 0.0 if c < JUDGED else floor[c] if floor[c] <= 1 else floor[c - 1]
-    return Model(
+        return Model([], np.zeros(0, dtype=int), np.zeros((0, BUCKETS), dtype=np.float32), idf, np.zeros((0, LENGTHS)))
+    model = Model(
         languages, np.array([languages.index(r["label"]) for r in found]),
-        np.stack([np.frombuffer(r["centroid"], dtype=np.float32) for r in found]), idf, floor * SLACK,
+        np.stack([np.frombuffer(r["centroid"], dtype=np.float32) for r in found]), idf, np.zeros((len(languages), LENGTHS)),
     )
+    return replace(model, floor=_floors(rows, model))
 
 
 def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:

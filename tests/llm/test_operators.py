@@ -336,6 +336,34 @@ def test_languages_are_told_apart(spark, data, docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id in (0, 1, 2)").count() == 0
 
 
+def _odd_text(rng):
+    letters = rng.choice(list("bcdfghjklmnpqrstvwxz"), size=4, replace=False)
+    return " ".join("".join(rng.choice(letters, size=6)) for _ in range(40))
+
+
+def test_bounds_of_rejection_come_from_all_labelled_rows(spark):
+    rng = np.random.default_rng(4)
+    words = [["the", "quick", "fox", "runs", "over", "lazy", "dogs", "and", "barks"], ["el", "perro", "corre", "sobre", "una", "casa", "y", "ladra", "mucho"]]
+    plain = lambda n, start: [(start + i, " ".join(rng.choice(words[i % 2], size=45))) for i in range(n)]
+    texts = plain(2800, 0) + [(5000 + i, _odd_text(rng)) for i in range(6)]
+    model = language.fit(table(spark, texts, ["ab"[i % 2] for i, _ in texts]), F.lit(True))  # each row is in the sample
+    later = table(spark, texts + plain(400, 10_000) + [(20_000 + i, _odd_text(rng)) for i in range(40)])
+    gone = [r.doc_id for r in language.identify(later, model).collect() if r.rejected]
+    labelled = sum(i < 10_000 for i in gone)
+    assert 0 < labelled <= language.REJECTED * len(texts)
+    assert sum(10_000 <= i < 20_000 for i in gone) <= 0.02 * 400 and sum(i >= 20_000 for i in gone) >= 0.9 * 40
+
+
+def test_a_quantile_is_taken_by_class_and_needs_enough_rows():
+    counts = np.zeros((language.LENGTHS, language.BINS + 1), dtype=np.int64)
+    counts[3, 100], counts[3, 200] = 1, 999
+    counts[5, 50] = 3
+    got = language.lowest(counts)
+    assert got[:3] == [None] * 3 and got[3] == got[4] == 200 / language.BINS
+    assert got[5] == 50 / language.BINS  # counted with the shorter ones: 2 of 1003 may lie below, 3 may not
+    assert language.lowest(counts * 0) == [None] * language.LENGTHS
+
+
 def test_archives_give_back_what_was_written(spark, tmp_path):
     long, short = "é" * 700, "s" * 999
     rows = [
