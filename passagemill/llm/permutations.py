@@ -9,6 +9,10 @@ with the smallest distance is compared exactly, in double precision.
 Largest inner product is turned into smallest angle by one more component: with M the
 largest norm of all rows, a vector x is followed by sqrt(M^2 - |x|^2) and a query by 0.
 
+Rows that repeat an id and its vector are one before anything is dealt or counted.  An id with
+several different vectors keeps them all and is as near as the nearest of them, on the side of
+the queries as well; places among the best are places of ids.
+
 Pivots come from a bounded sample of the rows; every row is indexed.  Queries are dealt to
 blocks as well and each pair of blocks is one group of work, so nothing grows with the
 data but the number of groups, and only ``k`` rows per query leave a group.
@@ -40,7 +44,7 @@ def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~odd & F.exists("v", lambda x: x != 0))
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (common["n"] if common else 0))
+    return rows.where(F.size("v") == (common["n"] if common else 0)).dropDuplicates(["id", "v"])
 
 
 def nearest_pivots(points: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -73,6 +77,20 @@ class Postings:
         return missing_all - np.bincount(rows, weights=saved, minlength=self.n)
 
 
+def enough(ids: np.ndarray, near: np.ndarray, keep: int, least: int) -> int:
+    """How many of the rows ``near`` to keep: ``keep``, or more until ``least`` different ids are among them."""
+    firsts = np.sort(np.unique(ids[near], return_index=True)[1])
+    return max(keep, int(firsts[min(least, len(firsts)) - 1]) + 1)
+
+
+def kth_best(ids: np.ndarray, scores: np.ndarray, k: int) -> float:
+    """The score of the k-th best id; rows of one id count as the best of them."""
+    order = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
+    best = np.maximum.reduceat(scores[order], starts)
+    return float(np.partition(best, len(best) - k)[len(best) - k]) if len(best) > k else -np.inf
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", column: str = "embedding",
     n_pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, block: int = BLOCK,
@@ -83,7 +101,7 @@ def search(
     facts = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     n, largest = int(facts[0]), float(facts[1] or 0.0)
     n_queries = asked.count()
-    sample = rows.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(SAMPLE).collect()  # SAMPLE rows at most
+    sample = rows.orderBy(F.xxhash64("id", "v", F.lit("pivot")), "id", "v").limit(SAMPLE).collect()  # SAMPLE rows at most
     base = np.array([r["v"] for r in sample], dtype=np.float64).reshape(len(sample), len(sample[0]["v"]) if sample else 1)
 
     def lift(x: np.ndarray, query: bool) -> np.ndarray:
@@ -104,7 +122,7 @@ def search(
             ids = table.column("id").to_numpy()
             x = np.array(table.column("v").combine_chunks().values.to_numpy(zero_copy_only=False), dtype=np.float64)
             x = x.reshape(len(ids), -1)
-            by_id = np.argsort(ids, kind="stable")
+            by_id = np.lexsort((*x.T[::-1], ids))
             ids, x = ids[by_id], x[by_id]
             orders = nearest_pivots(lift(x, query), shared.value, prefix).astype(np.int16)
             return pa.table({
@@ -116,8 +134,8 @@ def search(
 
     def blocks(df: DataFrame, count: int, size: int, which: str, query: bool) -> tuple[DataFrame, int]:
         parts = max(1, -(-count // size))
-        # Dealt by a hash of the id: no vector, however common, makes a block large.
-        dealt = df.withColumn("part", F.pmod(F.xxhash64("id", F.lit(which)), F.lit(parts)).cast("bigint"))
+        # Dealt by a hash of id and vector: neither, however common, makes a block large.
+        dealt = df.withColumn("part", F.pmod(F.xxhash64("id", "v", F.lit(which)), F.lit(parts)).cast("bigint"))
         schema = f"{which} bigint, ids binary, vectors binary, orders binary"
         return dealt.groupBy("part").applyInArrow(pack(which, query), schema), parts
 
@@ -142,17 +160,23 @@ def search(
             rough_x = x.astype(real)
             small = np.int16 if prefix * prefix < 1 << 15 else np.int64  # short integers sort by radix
             keep = min(len(ids), max(4 * k + 1, int(np.ceil(share * len(ids)))))
+            repeated = bool((ids[1:] == ids[:-1]).any())
             for qid, q, order in zip(qids, qx, qorders):
                 distance = files.footrule(order)
                 # Rows lie in the order of their ids, so a stable sort gives ties to the smaller id.
-                near = np.argsort(distance.astype(small), kind="stable")[:keep]
+                near = np.argsort(distance.astype(small), kind="stable")
+                near = near[: enough(ids, near, keep, 4 * k + 1) if repeated else keep]
                 near = near[ids[near] != qid]
                 if len(near) > k:
                     rough = rough_x.take(near, axis=0) @ q.astype(real)
                     slack = error * np.sqrt(largest * (q @ q))
-                    near = near[rough >= np.partition(rough, len(near) - k)[len(near) - k] - slack]
+                    bound = kth_best(ids[near], rough, k) if repeated else np.partition(rough, len(near) - k)[len(near) - k]
+                    near = near[rough >= bound - slack]
                 exact = (x[near] * q).sum(axis=1)
-                best = np.lexsort((ids[near], -exact))[:k]
+                best = np.lexsort((ids[near], -exact))
+                if repeated:
+                    best = best[np.sort(np.unique(ids[near[best]], return_index=True)[1])]
+                best = best[:k]
                 found.append((np.full(len(best), qid), ids[near[best]], exact[best]))
         a, b, c = (np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(3))
         return pa.table({"query_id": pa.array(a.astype(np.int64)), "vec_id": pa.array(b.astype(np.int64)), "score": pa.array(c.astype(np.float64))})
@@ -160,6 +184,7 @@ def search(
     pairs = index.groupBy("b", "q").cogroup(wanted.groupBy("b", "q"))
     found = pairs.applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # Repeated rows of one id have one score each; they are one candidate.
-    ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order))
+    # Different vectors of one id are one candidate with the best of their scores.
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

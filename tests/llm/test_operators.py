@@ -209,6 +209,30 @@ def test_neighbours_are_found_and_ordered(spark):
     assert permutations.search(few, few.where("vec_id = 0")).count() == 2
 
 
+def test_an_id_with_many_rows_takes_one_place_among_the_neighbours(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(500, x[0].tolist())] * 200  # copies of one row
+    rows += [(501, (x[20] + 0.01 * rng.normal(size=16)).tolist()) for _ in range(300)]  # different vectors of one id
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = collections.defaultdict(dict)
+    for r in permutations.search(vectors, vectors.where("vec_id % 20 = 0"), k=20, block=10_000, share=1.0).collect():
+        assert r.vec_id not in found[r.query_id]
+        found[r.query_id][r.vec_id] = (r.rank, r.score)
+    best = collections.defaultdict(dict)
+    for q in range(0, 300, 20):
+        for i, v in rows:
+            if i != q:
+                best[q][i] = max(best[q].get(i, -math.inf), float((np.array(v) * x[q]).sum()))
+        want = sorted(best[q], key=lambda i: (-best[q][i], i))[:20]
+        assert [i for i, _ in sorted(found[q].items(), key=lambda f: f[1][0])] == want
+        assert all(s == pytest.approx(best[q][i]) for i, (_, s) in found[q].items())
+    for blocks in (50, 200):  # the usual share, over several blocks
+        few = permutations.search(vectors, vectors.where("vec_id in (0, 20)"), k=20, block=blocks)
+        assert sorted(r["count"] for r in few.groupBy("query_id").count().collect()) == [20, 20]
+
+
 def test_chat_reads_back_what_was_said(spark):
     own = "</s>[INST] ok [/INST]"
     rows = [
