@@ -47,6 +47,8 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 COUNT_BITS, CELLS = 20, 128
 #: Centres with which the members of a posting list are compared first.
 STARS = 3
+#: Members of a slice of a long posting list, about, where all pairs of a list are wanted.
+SLICE = 512
 #: Bits of the map by which ids are found in a scan.
 FILTER_BITS = 26
 _CHUNK_BITS = 16
@@ -311,6 +313,22 @@ def _rest_pairs(rows: DataFrame) -> DataFrame:
     return _pairs(join.select(F.col("l.node").alias("x"), F.col("r.node").alias("y")))
 
 
+def _every_pair(postings: DataFrame) -> DataFrame:
+    """All pairs of each list.  A long list is cut into slices by node; any two of them, and each with
+    itself, meet under a key of their own, so no key has more than about two slices."""
+    parts = postings.groupBy("shingle").agg(F.ceil(F.count("*") / F.lit(SLICE)).cast("int").alias("parts"))
+    rows = postings.join(parts, "shingle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    left = rows.withColumn("other", F.explode(F.sequence(F.col("own"), F.col("parts") - 1))).alias("l")
+    right = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own")))).alias("r")
+    join = left.join(
+        right,
+        (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.own") == F.col("r.other")) & (F.col("l.other") == F.col("r.own"))
+        & ((F.col("l.own") < F.col("r.own")) | (F.col("l.node") < F.col("r.node")))
+        & _may_link(F.col("l.size"), F.col("r.size"), F.col("l.place"), F.col("r.place")),
+    )
+    return _pairs(join.select(F.col("l.node").alias("x"), F.col("r.node").alias("y")))
+
+
 def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
@@ -346,6 +364,28 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
     return named.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
+def linked(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(id, n_shingles, class, n_links) of every row and (a, b), a < b, of all classes that link.
+
+    ``class`` is the digest of a row's set in hexadecimal, null without words; ``n_links`` is the
+    number of classes that its class links with.  Unlike ``join`` this compares all candidates,
+    also those that a component has joined already, and so can grow with the square of a group."""
+    keys = cut_lineage(_keys(docs, id_column, text))
+    rows = keys.where("part is null").select("id", "n", "node", "cells")
+    postings = cut_lineage(_shared_postings(_postings(docs, _order_table(keys), text)))
+    posted = postings.select("node").distinct()
+    nodes = rows.join(posted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("cells").alias("cells"))
+    nodes = cut_lineage(nodes)
+    pairs = cut_lineage(_spread_alike(_every_pair(postings).distinct(), nodes))
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    links = cut_lineage(_verified(pairs, _sets(docs, nodes.join(used, "node", "left_semi"), id_column, text)))
+    counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    members = rows.join(counts, "node", "left").select(
+        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.lower(F.hex("node")).alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+    return members, links.select(F.lower(F.hex("a")).alias("a"), F.lower(F.hex("b")).alias("b"))
+
+
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, with all their columns, of one document of each component: that with the
     smallest id, and of rows that repeat it the first.  Documents without words all stay."""

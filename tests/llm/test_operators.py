@@ -300,6 +300,29 @@ def test_components_equal_all_pairs(spark, docs, empty):
     assert kept.count() == len(alone)
 
 
+def test_all_links_between_different_texts_are_returned(spark, empty, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SLICE", 4)
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(90)]
+    texts = [(0, " ".join(base)), (1, " ".join(base)), (2, None), (3, "alone")]
+    for i in range(15):  # a group whose members link with most of each other
+        copy = list(base)
+        copy[int(rng.integers(90))] = f"own{i}"
+        texts.append((10 + i, " ".join(copy)))
+    members, links = ngram_join.linked(table(spark, texts).repartition(3))
+    names = {r.doc_id: r for r in members.collect()}
+    sets = {i: frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for i, t in texts if t and len(t) > 9}
+    want = {
+        tuple(sorted((names[i]["class"], names[j]["class"]))) for i in sets for j in sets
+        if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    }
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
+    assert names[0]["class"] == names[1]["class"] and names[2]["class"] is None and names[3].n_links == 0
+    assert all(r.n_links == sum(r["class"] in pair for pair in want) for r in names.values())
+    assert all(df.count() == 0 for df in ngram_join.linked(empty))
+
+
 def test_benchmark_windows_equal_a_scan_of_all(spark, empty):
     rng = np.random.default_rng(5)
     vocabulary = [f"v{k}" for k in range(300)]
