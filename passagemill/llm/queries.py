@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.llm import (
-    chat, decontaminate, language, licenses, maxent, ngram_join, permutations, sentence_pieces, token_counts, warc,
+    chat, decontaminate, language, licenses, maxent, ngram_join, permutations, sentence_pieces, sharding,
+    token_counts, warc,
 )
 from passagemill.llm.common import crc_fold, cut_lineage, read, scratch_path
 
@@ -75,6 +76,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, payload=False)
 
 
+def op13_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document, counts at most one apart."""
+    placed = sharding.assign(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sentence_pieces": op2_sentence_pieces,
@@ -86,10 +94,12 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
+    "op13_ring_shards": op13_ring_shards,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
+    "op13_ring_shards": sharding.SQL,
     "op10_warc": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d,
                           octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages),
