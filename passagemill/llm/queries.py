@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from passagemill.llm import (
     chat, decontaminate, language, licenses, maxent, ngram_join, permutations, sentence_pieces, sharding,
-    token_counts, warc,
+    token_counts, warc, whitening,
 )
 from passagemill.llm.common import crc_fold, cut_lineage, read, scratch_path
 
@@ -76,6 +76,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, payload=False)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every vector."""
+    white = whitening.whiten(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 def op13_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard and slot of every document, counts at most one apart."""
     placed = sharding.assign(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -94,6 +100,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
+    "op11_whitening": op11_whitening,
     "op13_ring_shards": op13_ring_shards,
     "pipeline": corpus_pipeline.run,
 }
