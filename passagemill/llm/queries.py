@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.llm import (
-    chat, decontaminate, language, licenses, maxent, ngram_join, permutations, sentence_pieces, sharding,
-    token_counts, warc, whitening,
+    chat, decontaminate, language, licenses, maxent, negatives, ngram_join, permutations, sentence_pieces,
+    sharding, token_counts, warc, whitening,
 )
 from passagemill.llm.common import crc_fold, cut_lineage, read, scratch_path
 
@@ -82,6 +82,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white.withColumn("deviation", F.col("deviation").try_cast("bigint"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to ten hard negatives of each of the five nearest positives of every hundredth vector."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), F.col("id") % 100 == 0, label=shifted)
+
+
 def op13_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard and slot of every document, counts at most one apart."""
     placed = sharding.assign(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -101,11 +107,13 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
     "op11_whitening": op11_whitening,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_ring_shards": op13_ring_shards,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
+    "op12_hard_negatives": negatives.SQL,
     "op13_ring_shards": sharding.SQL,
     "op10_warc": """
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d,
