@@ -14,7 +14,8 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
-    "lex_term_df", "bm25_top20", "dense_top20", "hash_embed", "mode_dense", "mode_bm25", "mode_rrf",
+    "lex_term_df", "bm25_top20", "bm25_postings_top20", "bm25_postings_phrases", "dense_top20", "dense_cells_top20",
+    "hash_embed", "mode_dense", "mode_bm25", "mode_rrf",
     "rerank_top5", "cascade_hits", "normalize_text", "sections", "html_blocks", "md_blocks", "csv_rows",
     "pack_windows_overlap", "chunk_parents", "chunk_children", "page_chrome", "manifest_skip", "cache_join",
     "latency_p50", "eval_rollup", "stream_ingest_search",

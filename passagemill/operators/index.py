@@ -5,7 +5,8 @@ run leaves nothing visible and is simply run again.  A document's live rows are
 those of its latest generation; an ingest that replaces it lists the older ones in
 a small table of superseded (doc_id, generation) pairs, filtered out until ``compact`` rewrites the tables.
 Tables read by id are partitioned by a hash bucket of that id and postings by a
-bucket of the term, so that a lookup opens few partitions.
+bucket of the term, so that a lookup opens few partitions.  The number of buckets
+is chosen when an index is made and kept by it.
 """
 
 from __future__ import annotations
@@ -16,19 +17,21 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.operators.lexical import postings
+from passagemill.operators import postings as inverse
 from passagemill.operators.rerank import Reranker, keyword_overlap, scorer_name
 from passagemill.operators.retrieval import Corpus
+from passagemill.operators.topk import cut_lineage
 from passagemill.schemas import LIMITS, IngestError
 
 KEYED = {"parents": "parent_id", "children": "chunk_id", "postings": "term"}
 MAX_BROADCAST_PAIRS = 200_000
+BUCKETS = 8
 
 
 class Index:
     def __init__(
         self, spark: SparkSession, path: str, model_id: str, model_revision: str,
-        pipeline_version: int = LIMITS.pipeline_version, buckets: int = 8,
+        pipeline_version: int = LIMITS.pipeline_version, buckets: int = BUCKETS,
     ):
         self.spark, self.path = spark, path.rstrip("/")
         self.model_id, self.model_revision = model_id, model_revision
@@ -91,15 +94,23 @@ class Index:
         """The live rows the given documents have now, as pairs (doc_id, dead)."""
         return self.files().join(documents, "doc_id", "left_semi").select("doc_id", F.col("gen").alias("dead"))
 
+    def dead(self) -> DataFrame | None:
+        """Superseded pairs (doc_id, dead), or None while there are none."""
+        listed = self.table("superseded")
+        return None if listed is None or listed.isEmpty() else listed.select("doc_id", "dead")
+
     def live(self, name: str) -> DataFrame | None:
-        rows, listed = self.table(name), self.table("superseded")
-        if rows is None or listed is None:
-            return rows
-        dead = listed.select("doc_id", F.col("dead").alias("gen"))
-        n = dead.limit(MAX_BROADCAST_PAIRS + 1).count()
-        if n == 0:
+        rows, dead = self.table(name), self.dead()
+        if rows is None or dead is None:
             return rows
-        return rows.join(F.broadcast(dead) if n <= MAX_BROADCAST_PAIRS else dead, ["doc_id", "gen"], "left_anti")
+        few = dead.limit(MAX_BROADCAST_PAIRS + 1).count() <= MAX_BROADCAST_PAIRS
+        dead = dead.withColumnRenamed("dead", "gen")
+        return rows.join(F.broadcast(dead) if few else dead, ["doc_id", "gen"], "left_anti")
+
+    def postings(self) -> inverse.Postings:
+        """Live postings: ranges that hold superseded passages are opened and shortened."""
+        made, dead = inverse.Postings(self.table("postings"), self.table("ranges"), self.buckets), self.dead()
+        return made if dead is None else inverse.without(made, dead, F.col("gen"))
 
     def child_ids(self, doc_id: str) -> DataFrame:
         return self.live("children").where(F.col("doc_id") == doc_id).select("chunk_id")
@@ -158,13 +169,16 @@ class Index:
             )
 
     def write_postings(self, children: DataFrame, gen: int) -> None:
-        self.write("postings", postings(children), gen)
+        made = inverse.split(cut_lineage(inverse.inverted(children)))
+        self.write("postings", made.blocks, gen)
+        self.write("ranges", made.ranges, gen)
 
     def compact(self) -> None:
         """Rewrite the live rows as one generation; earlier ones are no longer read."""
         gen = self.last + 1
-        for name in ("children", "parents", "postings"):
+        for name in ("children", "parents"):
             self.write(name, self.live(name).drop("gen", "bucket"), gen)
+        self.write_postings(self.spark.read.parquet(f"{self.path}/children/gen={gen}"), gen)
         self.write("files", self.files().drop("gen"), gen)
         cache = self.table("embeddings")
         self.write("embeddings", cache.drop("gen"), gen)
@@ -176,11 +190,9 @@ class Index:
         """What a search reads.  A missing index is empty, and reading never creates it."""
         if not self.exists:
             raise IngestError(self.path, "no index here")
-        children = self.live("children")
-        stats = children.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         return Corpus(
-            children, self.live("parents"), inverted=self.live("postings"), stats=stats,
-            tau=self.get_tau(reranker), buckets=self.buckets,
+            self.live("children"), self.live("parents"), postings=self.postings, tau=self.get_tau(reranker),
+            buckets=self.buckets,
         )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from passagemill.functions import text as X
 from passagemill.functions.hashing import hash_vector, text_hash
 from passagemill.operators.chunking import child_rows, parent_rows, passages
-from passagemill.operators.index import Index
+from passagemill.operators.index import BUCKETS, Index
 from passagemill.operators.skew import join_hot
 from passagemill.operators.topk import cut_lineage
 from passagemill.schemas import CHILD_COLUMNS, LIMITS, MIMES, PARENT_COLUMNS, IngestError, Limits
@@ -151,25 +151,25 @@ def ingest(
     spark: SparkSession, path: str, index_dir: str,
     encode: Callable[[Column], Column] = hash_vector, count: X.TokenCounter = X.whitespace_tokens,
     model_id: str = HASH_MODEL, model_revision: str = HASH_REVISION,
-    limits: Limits = LIMITS, fail_fast: bool = True,
+    limits: Limits = LIMITS, fail_fast: bool = True, buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Bring an index up to date with a folder or a file.
+    """Bring an index up to date with a folder or a file; ``buckets`` counts for a new index.
 
     Unchanged files are skipped; changed ones replace all their rows.  Files gone
     from disk keep theirs.  Returns (doc_id, status, chunks, reason) in path order.
     """
     listing = S.list_files(spark, path, index_dir, limits)
-    return ingest_listed(listing, index_dir, encode, count, model_id, model_revision, limits, fail_fast)
+    return ingest_listed(listing, index_dir, encode, count, model_id, model_revision, limits, fail_fast, buckets)
 
 
 def ingest_listed(
     listing: DataFrame, index_dir: str,
     encode: Callable[[Column], Column] = hash_vector, count: X.TokenCounter = X.whitespace_tokens,
     model_id: str = HASH_MODEL, model_revision: str = HASH_REVISION,
-    limits: Limits = LIMITS, fail_fast: bool = True,
+    limits: Limits = LIMITS, fail_fast: bool = True, buckets: int = BUCKETS,
 ) -> DataFrame:
     """The same for files already listed, however they were found."""
-    index = Index(listing.sparkSession, index_dir, model_id, model_revision, limits.pipeline_version)
+    index = Index(listing.sparkSession, index_dir, model_id, model_revision, limits.pipeline_version, buckets)
     listed = cut_lineage(split_unchanged(S.with_digest(listing), index.files() if index.exists else None, index))
     failure = first_failure(listed) if fail_fast else None
     usable = listed if failure is None else listed.where(F.col("path_order") < failure.path_order)

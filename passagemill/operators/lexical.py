@@ -1,9 +1,8 @@
 """BM25 search.
 
-Two ways to the same scores.  ``bm25_topk`` scans passages: one pass counts the
-document frequencies of the query terms, a second scores in-task and keeps k per
-query.  ``bm25_postings_topk`` reads an inverted table, so a few query terms
-touch a few row groups only.
+``bm25_topk`` scans passages: one pass counts the document frequencies of the query
+terms, a second scores in-task and keeps k per query.  ``postings.search`` gives the
+same scores from an inverted table.
 """
 
 from __future__ import annotations
@@ -41,48 +40,6 @@ def corpus_stats(chunks: DataFrame, text: str = "embed_text") -> DataFrame:
     )
 
 
-def postings(chunks: DataFrame, text: str = "embed_text") -> DataFrame:
-    """Inverted rows (term, chunk_id, doc_id, dl, tf, positions).
-
-    All terms of a passage are in its row, so they are grouped inside the task,
-    a batch at a time; nothing is shuffled.
-    """
-    source = tokenized(chunks, text).select("chunk_id", "doc_id", "terms")
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    schema = (
-        f"chunk_id {kinds['chunk_id']}, doc_id {kinds['doc_id']}, dl bigint, term string, tf bigint, "
-        "positions array<int>"
-    )
-    return source.mapInArrow(_invert, schema)
-
-
-def _invert(batches):
-    for batch in batches:
-        terms = batch.column("terms")
-        size = pc.list_value_length(terms).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = terms.flatten().dictionary_encode()
-        if len(coded) == 0:
-            continue
-        row = np.repeat(np.arange(len(terms)), size)
-        position = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        key = row * len(coded.dictionary) + coded.indices.to_numpy()
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
-        edges = np.r_[first, len(order)]
-        lead = order[first]
-        owner = pa.array(row[lead])
-        yield pa.RecordBatch.from_pydict({
-            "chunk_id": batch.column("chunk_id").take(owner),
-            "doc_id": batch.column("doc_id").take(owner),
-            "dl": pa.array(size[row[lead]]),
-            "term": coded.dictionary.take(coded.indices.take(pa.array(lead))),
-            "tf": pa.array(np.diff(edges)),
-            "positions": pa.ListArray.from_arrays(
-                pa.array(edges.astype(np.int32)), pa.array(position[order].astype(np.int32))
-            ),
-        })
-
-
 def query_units(queries: DataFrame) -> DataFrame:
     """Scored units of each query: (qid, phrase array<string>, weight).
 
@@ -261,68 +218,3 @@ def bm25_topk(
     """
     parts = [_search_slice(chunks, part, k, text, list(carry)) for part in query_slices(queries)]
     return rank_topk(union_all(parts), k, carry[0])
-
-
-def bm25_postings_topk(
-    inverted: DataFrame, stats: DataFrame, queries: DataFrame, k: int = LIMITS.lexical_k,
-    buckets: int | None = None,
-) -> DataFrame:
-    """The same search over ``postings`` and a one-row ``stats`` (n, avgdl).
-
-    Query units are few and checked to be so, hence broadcast; postings are
-    filtered by term first and summed per passage before the only shuffle.
-    """
-    parts = [_postings_slice(inverted, stats, part, buckets) for part in query_slices(queries)]
-    return rank_topk(union_all(parts), k, "chunk_id")
-
-
-MAX_LITERAL_TERMS = 500
-
-
-def spark_buckets(df: DataFrame, terms: list[str], buckets: int) -> list[int]:
-    """Partition buckets of a few terms, hashed by the engine that wrote them."""
-    rows = df.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-    code = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-    return sorted({r.bucket for r in rows.select(code).collect()})
-
-
-def _postings_slice(
-    inverted: DataFrame, stats: DataFrame, queries: DataFrame, buckets: int | None
-) -> DataFrame:
-    units = query_units(queries).withColumn("size", F.size("phrase"))
-    single = units.where("size = 1").select("qid", F.col("phrase")[0].alias("term"), "weight")
-    terms = sorted({t for r in units.select("phrase").distinct().collect() for t in r.phrase})
-    if len(terms) <= MAX_LITERAL_TERMS:
-        # Literals reach the scan: partitions by bucket, row groups by term.
-        inverted = inverted.where(F.col("term").isin(terms))
-        if buckets is not None:
-            codes = spark_buckets(inverted, terms, buckets)
-            inverted = inverted.where(F.col("bucket").isin(codes))
-    wanted = F.broadcast(single.select("term").distinct())
-    plain = inverted.join(wanted, "term").select(
-        F.array("term").alias("phrase"), "chunk_id", "doc_id", "dl", "tf"
-    )
-    longer = units.where("size > 1").select("phrase").distinct()
-    steps = longer.select("phrase", F.posexplode("phrase").alias("step", "term"))
-    base = (
-        inverted.join(F.broadcast(steps), "term")
-        .select("phrase", "chunk_id", "doc_id", "dl", "step", F.explode("positions").alias("pos"))
-        .groupBy("phrase", "chunk_id", "doc_id", "dl", (F.col("pos") - F.col("step")).alias("base"))
-        .agg(F.count("*").alias("met"))
-        .where(F.col("met") == F.size("phrase"))
-    )
-    adjacent = base.groupBy("phrase", "chunk_id", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    found = plain.unionByName(adjacent)
-    frequency = found.groupBy("phrase").agg(F.count("*").alias("df"))
-    one = stats.limit(1).collect()[0]
-    weighted = (
-        units.join(frequency, "phrase")
-        .withColumn("gain", F.col("weight") * idf(F.col("df"), F.lit(float(one.n))))
-        .join(queries.select("qid", "doc_filter"), "qid")
-        .select("qid", "phrase", "gain", "doc_filter")
-    )
-    scored = found.join(F.broadcast(weighted), "phrase").where(
-        (F.coalesce("doc_filter", F.lit("")) == "") | (F.col("doc_filter") == F.col("doc_id").cast("string"))
-    )
-    part = F.col("gain") * saturation(F.col("tf"), F.col("dl"), F.lit(one.avgdl))
-    return scored.groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))

@@ -12,39 +12,40 @@ from passagemill.functions import text as X
 from passagemill.functions.hashing import hash_vector
 from passagemill.operators import fusion, rerank
 from passagemill.operators.dense import dense_topk
-from passagemill.operators.lexical import bm25_postings_topk, bm25_topk
-from passagemill.operators.topk import MAX_BATCH_QUERIES, cut_lineage
+from passagemill.operators.lexical import bm25_topk
+from passagemill.operators.postings import Postings, search
+from passagemill.operators.topk import cut_lineage
 from passagemill.schemas import HIT_COLUMNS, LIMITS, NO_CONFIDENT_HIT, QueryError
 
 Encoder = Callable[[Column], Column]
 
-# Up to this many queries read stored postings; a larger batch meets most terms
-# anyway and is cheaper to score in one scan of the passages.
-LOOKUP_BATCH = 32
-
 
 @dataclass
 class Corpus:
     """What a search reads.
 
     ``children`` (chunk_id, parent_id, doc_id, embed_text, vector) and ``parents``
-    are tables; ``inverted`` and ``stats`` are given when postings are stored.
+    are tables; ``postings`` gives the inverted ones where they are stored.
     """
 
     children: DataFrame
     parents: DataFrame
-    inverted: DataFrame | None = None
-    stats: DataFrame | None = None
+    postings: Callable[[], Postings] | None = None
     tau: float | None = None
     buckets: int | None = None
 
-    def lookup(self, rows: DataFrame, key: str, wanted: DataFrame, hint) -> DataFrame:
-        """Join ``wanted`` to stored rows by id; bucketed tables open matching partitions only."""
-        if self.buckets is None or "bucket" not in rows.columns:
-            return rows.join(hint(wanted), key)
-        bucket = F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
-        known = wanted.where(F.col(key) > "").withColumn("bucket", bucket)
-        return rows.join(hint(known), ["bucket", key])
+    def lookup(self, rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+        """Join ``wanted``, a few rows per query, to stored rows by id.
+
+        It is written first, so that its true size decides how Spark joins it; of bucketed
+        tables only the partitions of its ids are opened.
+        """
+        wanted = cut_lineage(wanted)
+        if self.buckets is not None and "bucket" in rows.columns:
+            # At most ``buckets`` numbers, whatever the batch holds.
+            code = F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int").alias("bucket")
+            rows = rows.where(F.col("bucket").isin([r.bucket for r in wanted.select(code).distinct().collect()] or [-1]))
+        return rows.join(wanted, key)
 
 
 @dataclass
@@ -78,30 +79,14 @@ def search_legs(
         vectors = queries.withColumn("vector", encode(F.col("q")))
         dense = dense_topk(corpus.children, vectors, limits.dense_k)
     if mode != "dense":
-        if corpus.inverted is not None and queries.limit(LOOKUP_BATCH + 1).count() <= LOOKUP_BATCH:
-            hits = bm25_postings_topk(
-                corpus.inverted, corpus.stats, queries, limits.lexical_k, corpus.buckets
-            )
-            lexical = _owners(corpus, hits, queries)
+        if corpus.postings is not None:
+            lexical = search(corpus.postings(), queries, limits.lexical_k)
         else:
             lexical = bm25_topk(corpus.children, queries, limits.lexical_k)
     return fusion.candidates(dense, lexical)
 
 
-def _owners(corpus: Corpus, hits: DataFrame, queries: DataFrame) -> DataFrame:
-    hits = cut_lineage(hits)
-    columns = [c for c in ("chunk_id", "parent_id", "bucket") if c in corpus.children.columns]
-    return corpus.lookup(corpus.children.select(*columns), "chunk_id", hits, _hint(queries))
-
-
-def _hint(queries: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Broadcast for data of a few rows per query, if the batch is found to be small."""
-    if queries.limit(MAX_BATCH_QUERIES + 1).count() <= MAX_BATCH_QUERIES:
-        return F.broadcast
-    return lambda df: df
-
-
-def emit(corpus: Corpus, ranked: DataFrame, mode: str, hint=lambda df: df) -> DataFrame:
+def emit(corpus: Corpus, ranked: DataFrame, mode: str) -> DataFrame:
     """Fetch the parents of ranked rows; texts are read for these rows only."""
     bucket = [c for c in ("bucket",) if c in corpus.parents.columns]
     parents = corpus.parents.select(
@@ -109,14 +94,14 @@ def emit(corpus: Corpus, ranked: DataFrame, mode: str, hint=lambda df: df) -> Da
         "file_sha256", "page_start", "page_end", "start_char", "end_char",
     )
     return (
-        corpus.lookup(parents, "parent_id", ranked, hint)
+        corpus.lookup(parents, "parent_id", ranked)
         .withColumn("mode", F.lit(mode))
         .select(*HIT_COLUMNS)
     )
 
 
 def rerank_pairs(
-    corpus: Corpus, queries: DataFrame, fused_children: DataFrame, found: DataFrame, hint, limits=LIMITS
+    corpus: Corpus, queries: DataFrame, fused_children: DataFrame, found: DataFrame, limits=LIMITS
 ) -> DataFrame:
     """The first fused children of each query with their texts."""
     owner = found.select("qid", "chunk_id", "parent_id").distinct()
@@ -127,7 +112,7 @@ def rerank_pairs(
         .join(queries.select("qid", "q"), "qid")
     )
     columns = [c for c in ("bucket", "chunk_id", "embed_text") if c in corpus.children.columns]
-    return corpus.lookup(corpus.children.select(*columns), "chunk_id", top, hint)
+    return corpus.lookup(corpus.children.select(*columns), "chunk_id", top)
 
 
 def rank_mode(
@@ -136,7 +121,6 @@ def rank_mode(
     found: DataFrame,
     mode: str,
     reranker: rerank.Reranker | None,
-    hint,
     limits=LIMITS,
     ordered: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
@@ -165,7 +149,7 @@ def rank_mode(
         raise QueryError("reranker is not available")
 
     def reranked(children: DataFrame) -> DataFrame:
-        return cut_lineage(rerank.rescore(rerank_pairs(corpus, queries, children, found, hint, limits), reranker))
+        return cut_lineage(rerank.rescore(rerank_pairs(corpus, queries, children, found, limits), reranker))
 
     columns = ["qid", "rank", "parent_id", "child_id", "score", "confident"]
     if mode == "rerank":
@@ -203,13 +187,12 @@ def retrieve(
     """
     queries = batch(queries)
     require_text(queries)
-    hint = _hint(queries)
     if found is None:
         found = cut_lineage(search_legs(corpus, queries, mode, encode, limits))
     if mode in ("dense", "bm25"):
         found = found.where(F.col("leg") == (fusion.DENSE if mode == "dense" else fusion.LEXICAL))
-    ranked, abstained, ordered = rank_mode(corpus, queries, found, mode, reranker, hint, limits, ordered)
-    hits = emit(corpus, ranked, mode, hint)
+    ranked, abstained, ordered = rank_mode(corpus, queries, found, mode, reranker, limits, ordered)
+    hits = emit(corpus, ranked, mode)
     status = queries.select("qid", F.lit(mode).alias("mode"))
     if abstained is None:
         status = status.withColumn("reason", F.lit(""))

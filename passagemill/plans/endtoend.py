@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passagemill import api
 from passagemill.functions import text as X
 from passagemill.operators.blocks import assign_offsets
-from passagemill.operators.lexical import bm25_postings_topk
+from passagemill.operators.postings import search
 from passagemill.operators.topk import scratch_path
 from passagemill.plans import common as C
 from passagemill.plans import texts  # noqa: F401 - defines the SQL of the chunker
@@ -44,10 +44,7 @@ SQL["stream_ingest_search"] = C.sql(
 
 def stream_ingest_search(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 over the postings of an index that a stream has just built."""
-    corpus = _streamed_index(spark, sf).corpus()
-    found = bm25_postings_topk(
-        corpus.inverted, corpus.stats, C.queries(spark, sf), buckets=corpus.buckets
-    )
+    found = search(_streamed_index(spark, sf).postings(), C.queries(spark, sf))
     return found.select(
         "qid", F.col("rank").cast("bigint").alias("rank"), "chunk_id", F.round("score", 6).alias("score")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passagemill import api
 from passagemill.functions import text as X
 from passagemill.functions.hashing import content_id, hash_vector, text_hash
-from passagemill.operators import evaluation, fusion, ingest, lexical, packaging, retrieval
+from passagemill.operators import evaluation, fusion, ingest, lexical, packaging, postings, retrieval
 from passagemill.operators.index import orphans
 from passagemill.operators.topk import cut_lineage, query_slices, union_all
 from passagemill.plans import common as C
@@ -263,10 +263,7 @@ def bm25_phrases(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("bm25_postings_phrases", _PHRASE)
 def bm25_postings_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = C.document_chunks(spark, sf)
-    return P._rounded(lexical.bm25_postings_topk(
-        lexical.postings(chunks), lexical.corpus_stats(chunks), _phrase_queries(spark, sf)
-    ))
+    return P._rounded(postings.search(postings.of_chunks(C.document_chunks(spark, sf)), _phrase_queries(spark, sf)))
 
 
 # --- index maintenance --------------------------------------------------------------------

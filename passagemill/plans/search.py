@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.functions.hashing import hash_vector
-from passagemill.operators import fusion, lexical, rerank, retrieval
+from passagemill.operators import fusion, lexical, postings, rerank, retrieval
 from passagemill.operators.dense import dense_topk
 from passagemill.operators.topk import cut_lineage
 from passagemill.plans import common as C
@@ -43,17 +43,19 @@ def lex_doc_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_add("lex_postings", C.sql("""
-    SELECT chunk_id, term, count(*) AS tf, max(len(terms)) AS dl, min(pos) - 1 AS first_pos, max(pos) - 1 AS last_pos
+    SELECT chunk_id, term, count(*) AS tf, max(len(terms)) AS dl, string_agg(pos - 1, ' ' ORDER BY pos) AS positions
     FROM (SELECT chunk_id, terms, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM terms_doc_chunk)
     GROUP BY chunk_id, term""", "terms_doc_chunk"))
 def lex_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.postings(C.document_chunks(spark, sf)).select(
-        "chunk_id", "term", "tf", "dl",
-        F.col("positions")[0].cast("bigint").alias("first_pos"),
-        F.element_at("positions", -1).cast("bigint").alias("last_pos"),
-    )
+    rows = postings.posting_rows(postings.of_chunks(C.document_chunks(spark, sf)))
+    return rows.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
 
 
+SQL_DOC_FILTER = C.sql("""
+    SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank, chunk_id,
+           round(score, 6) AS score
+    FROM score_child JOIN labels ON labels.doc_id = score_child.doc_id
+    WHERE score_child.doc_id = qid QUALIFY rank <= 20""", "score_child")
 _BM25 = C.sql(
     "SELECT qid, rank, chunk_id, round(score, 6) AS score FROM lexical_doc_chunk", "lexical_doc_chunk"
 )
@@ -66,12 +68,13 @@ def bm25_top20(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("bm25_postings_top20", _BM25)
 def bm25_postings_top20(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = C.document_chunks(spark, sf)
-    return _rounded(
-        lexical.bm25_postings_topk(
-            lexical.postings(chunks), lexical.corpus_stats(chunks), C.queries(spark, sf)
-        )
-    )
+    return _rounded(postings.search(postings.of_chunks(C.document_chunks(spark, sf)), C.queries(spark, sf)))
+
+
+@_add("bm25_postings_filter", SQL_DOC_FILTER)
+def bm25_postings_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Filtered search opens only the ranges that hold the filter's document."""
+    return _rounded(postings.search(postings.of_chunks(C.line_children(spark, sf)), _filtered_queries(spark, sf)))
 
 
 def _filtered_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,11 +83,7 @@ def _filtered_queries(spark: SparkSession, sf: str) -> DataFrame:
     return C.queries(spark, sf).join(labels, "qid").select("qid", "q", F.col("only").alias("doc_filter"))
 
 
-@_add("bm25_doc_filter", C.sql("""
-    SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank, chunk_id,
-           round(score, 6) AS score
-    FROM score_child JOIN labels ON labels.doc_id = score_child.doc_id
-    WHERE score_child.doc_id = qid QUALIFY rank <= 20""", "score_child"))
+@_add("bm25_doc_filter", SQL_DOC_FILTER)
 def bm25_doc_filter(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(lexical.bm25_topk(C.line_children(spark, sf), _filtered_queries(spark, sf)))
 
@@ -250,7 +249,7 @@ def score_band(spark: SparkSession, sf: str) -> DataFrame:
     corpus, asked = C.corpus(spark, sf), C.queries(spark, sf)
     found = _found(spark, sf, "rrf")
     pairs = retrieval.rerank_pairs(
-        corpus, asked, fusion.fuse(found, "chunk_id"), found, retrieval._hint(asked)
+        corpus, asked, fusion.fuse(found, "chunk_id"), found
     )
     return rerank.apply_band(rerank.rescore(pairs)).select(
         "qid", F.col("rank").cast("bigint").alias("rank"), "parent_id", "score"
