@@ -17,6 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagemill.operators import cells as clustered
 from passagemill.operators import postings as inverse
 from passagemill.operators.rerank import Reranker, keyword_overlap, scorer_name
 from passagemill.operators.retrieval import Corpus
@@ -112,6 +113,11 @@ class Index:
         made, dead = inverse.Postings(self.table("postings"), self.table("ranges"), self.buckets), self.dead()
         return made if dead is None else inverse.without(made, dead, F.col("gen"))
 
+    def cells(self) -> clustered.Cells:
+        """Live vectors by cell."""
+        made, dead = clustered.Cells(self.table("vectors"), self.table("cells")), self.dead()
+        return made if dead is None else clustered.without(made, dead)
+
     def child_ids(self, doc_id: str) -> DataFrame:
         return self.live("children").where(F.col("doc_id") == doc_id).select("chunk_id")
 
@@ -173,12 +179,20 @@ class Index:
         self.write("postings", made.blocks, gen)
         self.write("ranges", made.ranges, gen)
 
+    def write_cells(self, children: DataFrame, gen: int) -> None:
+        """Vectors by cell; numbers of cells are those of the generation alone."""
+        blocks, cells = clustered.build(children, first=gen * (clustered.MOST_CELLS + 1))
+        blocks.write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/vectors/gen={gen}")
+        self.write("cells", cells, gen)
+
     def compact(self) -> None:
         """Rewrite the live rows as one generation; earlier ones are no longer read."""
         gen = self.last + 1
         for name in ("children", "parents"):
             self.write(name, self.live(name).drop("gen", "bucket"), gen)
-        self.write_postings(self.spark.read.parquet(f"{self.path}/children/gen={gen}"), gen)
+        stored = self.spark.read.parquet(f"{self.path}/children/gen={gen}")
+        self.write_postings(stored, gen)
+        self.write_cells(stored, gen)
         self.write("files", self.files().drop("gen"), gen)
         cache = self.table("embeddings")
         self.write("embeddings", cache.drop("gen"), gen)
@@ -191,8 +205,8 @@ class Index:
         if not self.exists:
             raise IngestError(self.path, "no index here")
         return Corpus(
-            self.live("children"), self.live("parents"), postings=self.postings, tau=self.get_tau(reranker),
-            buckets=self.buckets,
+            self.live("children"), self.live("parents"), postings=self.postings, cells=self.cells,
+            tau=self.get_tau(reranker), buckets=self.buckets,
         )
 
 

@@ -120,6 +120,7 @@ def index_blocks(
     if stored.where(F.col("vector").isNull()).limit(1).count():
         raise IngestError(index.path, "the encoder left texts without a vector")
     index.write_postings(stored, gen)
+    index.write_cells(stored, gen)
     manifest = origin.select(
         "doc_id", "source_path", "file_sha256", "pipeline_version",
         F.lit(index.model_id).alias("model_id"), F.lit(index.model_revision).alias("model_revision"),

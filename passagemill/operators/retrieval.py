@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import text as X
 from passagemill.functions.hashing import hash_vector
+from passagemill.operators import cells as clustered
 from passagemill.operators import fusion, rerank
 from passagemill.operators.dense import dense_topk
 from passagemill.operators.lexical import bm25_topk
@@ -25,12 +26,13 @@ class Corpus:
     """What a search reads.
 
     ``children`` (chunk_id, parent_id, doc_id, embed_text, vector) and ``parents``
-    are tables; ``postings`` gives the inverted ones where they are stored.
+    are tables; ``postings`` and ``cells`` give the inverted and clustered ones where they are stored.
     """
 
     children: DataFrame
     parents: DataFrame
     postings: Callable[[], Postings] | None = None
+    cells: Callable[[], clustered.Cells] | None = None
     tau: float | None = None
     buckets: int | None = None
 
@@ -77,7 +79,10 @@ def search_legs(
     dense = lexical = None
     if mode != "bm25":
         vectors = queries.withColumn("vector", encode(F.col("q")))
-        dense = dense_topk(corpus.children, vectors, limits.dense_k)
+        if corpus.cells is not None:
+            dense = clustered.search(corpus.cells(), vectors, limits.dense_k)
+        else:
+            dense = dense_topk(corpus.children, vectors, limits.dense_k)
     if mode != "dense":
         if corpus.postings is not None:
             lexical = search(corpus.postings(), queries, limits.lexical_k)

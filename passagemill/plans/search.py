@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.functions.hashing import hash_vector
-from passagemill.operators import fusion, lexical, postings, rerank, retrieval
+from passagemill.operators import cells, fusion, lexical, postings, rerank, retrieval
 from passagemill.operators.dense import dense_topk
 from passagemill.operators.topk import cut_lineage
 from passagemill.plans import common as C
@@ -127,6 +127,19 @@ def dense_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(dense_topk(_vectors(spark, sf), asked, carry=("chunk_id",)))
 
 
+@_add("dense_cells_top20", _CENTROIDS.format(where=""))
+def dense_cells_top20(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from clustered cells, of which those below a query's floor stay closed."""
+    asked = _label_queries(C.table(spark, sf, "embeddings")).withColumn("doc_filter", F.lit(None).cast("string"))
+    return _rounded(cells.search(cells.of_vectors(_vectors(spark, sf)), asked))
+
+
+@_add("dense_cells_filtered", _CENTROIDS.format(where="WHERE label = qid"))
+def dense_cells_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    asked = _label_queries(C.table(spark, sf, "embeddings")).withColumn("doc_filter", F.col("qid").cast("string"))
+    return _rounded(cells.search(cells.of_vectors(_vectors(spark, sf), cell_rows=64), asked))
+
+
 @_add("hash_embed", f"""
     SELECT doc_id, {", ".join(f"round(v[{i + 1}], 9) AS v{i}" for i in range(8))} FROM (
         SELECT doc_id, [x / sqrt(list_sum([y * y FOR y IN raw])) FOR x IN raw] AS v FROM (
