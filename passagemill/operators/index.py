@@ -142,6 +142,17 @@ class Index:
             "append"
         ).parquet(f"{self.path}/tau")
 
+    # --- when files were read -------------------------------------------------------------
+
+    def read_times(self) -> DataFrame | None:
+        """(doc_id, file_sha256, size, mtime, seen): what a file of that size and time held when it was read."""
+        return self._read("times")
+
+    def keep_times(self, files: DataFrame) -> None:
+        """Facts, true whatever becomes of the run, so they belong to no generation."""
+        if not files.isEmpty():
+            files.select("doc_id", "file_sha256", "size", "mtime", "seen").write.mode("append").parquet(f"{self.path}/times")
+
     # --- writing ----------------------------------------------------------------------
 
     def write(self, name: str, rows: DataFrame, gen: int) -> None:

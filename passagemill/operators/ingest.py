@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,7 +157,7 @@ def ingest(
 ) -> DataFrame:
     """Bring an index up to date with a folder or a file; ``buckets`` counts for a new index.
 
-    Unchanged files are skipped; changed ones replace all their rows.  Files gone
+    Unchanged files are skipped, without being opened where size and time tell; changed ones replace all their rows.  Files gone
     from disk keep theirs.  Returns (doc_id, status, chunks, reason) in path order.
     """
     listing = S.list_files(spark, path, index_dir, limits)
@@ -171,7 +172,10 @@ def ingest_listed(
 ) -> DataFrame:
     """The same for files already listed, however they were found."""
     index = Index(listing.sparkSession, index_dir, model_id, model_revision, limits.pipeline_version, buckets)
-    listed = cut_lineage(split_unchanged(S.with_digest(listing), index.files() if index.exists else None, index))
+    listing = cut_lineage(listing.withColumn("seen", F.lit(time.time_ns() // 1000)))
+    digested = S.with_digest(listing, index.read_times())
+    listed = cut_lineage(split_unchanged(digested, index.files() if index.exists else None, index))
+    index.keep_times(listed.where(F.col("opened") & F.col("file_sha256").isNotNull()))
     failure = first_failure(listed) if fail_fast else None
     usable = listed if failure is None else listed.where(F.col("path_order") < failure.path_order)
     changed = usable.where(F.col("reason").isNull() & ~F.col("skipped"))

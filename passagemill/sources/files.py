@@ -1,7 +1,8 @@
 """Files of a folder as rows: listing, gates, digests, contents.
 
-The driver looks at folders until there are enough to share out; tasks walk the
-rest.  Bytes are read in tasks only, and only for files that need it.
+Folders are listed by the data source in ``folder``.  Bytes are read in tasks only, and only
+for files that need it: a file whose size and time are those it had when it was last read, long
+enough after its last change, keeps the digest it had then.
 """
 
 from __future__ import annotations
@@ -10,88 +11,41 @@ import hashlib
 import importlib.util
 import os
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.functions import text as X
 from passagemill.operators.blocks import assign_offsets, drop_blank, number_blocks
 from passagemill.schemas import LIMITS, MIMES, IngestError, Limits
-from passagemill.sources import markup
-
-_LISTED = "path string, real string, doc_id string, filename string, suffix string, size bigint, reason string"
-_SPREAD_FOLDERS = 64
-
-
-def _describe(path: str, root: str, index_dir: str) -> dict | None:
-    """Row of a candidate file, or None when it is not one."""
-    name = os.path.basename(path)
-    suffix = os.path.splitext(name)[1].lower()
-    if name.startswith(".") or suffix not in MIMES or not os.path.isfile(path):
-        return None
-    row = {
-        "path": path, "real": "", "doc_id": "", "filename": name, "suffix": suffix, "size": 0, "reason": None,
-    }
-    try:
-        real = os.path.realpath(path, strict=True)
-        row |= {"real": real, "size": os.path.getsize(real), "filename": os.path.basename(real)}
-    except OSError:
-        return row | {"reason": "unreadable file"}
-    if index_dir and Path(real).is_relative_to(index_dir):
-        return None
-    if not Path(real).is_relative_to(root):
-        return row | {"reason": "leads out of the folder"}
-    return row | {"doc_id": Path(real).relative_to(root).as_posix()}
-
-
-def _unlisted(error: OSError) -> None:
-    """A folder that cannot be listed stops the listing, on the driver and in a task alike."""
-    raise error
+from passagemill.sources import folder, markup
+
+#: A file that changed this short before it was read may change again without a new time.
+RACY_MICROSECONDS = 2_000_000
+#: Bytes that a task reads for digests.
+DIGEST_BYTES = 64 << 20
 
 
 def list_files(
     spark: SparkSession, path: str, index_dir: str = "", limits: Limits = LIMITS
 ) -> DataFrame:
-    """Ingestable files under ``path``, or the file itself; ``reason`` names a refused one."""
-    if not os.path.exists(path):
+    """Ingestable files under ``path`` (a local path or a URI), or the file itself; ``reason`` names a refused one."""
+    fs, inner = folder.opened(path)
+    info = fs.get_file_info(inner)
+    if info.type == arrow_fs.FileType.NotFound:
         raise IngestError(path, "file not found")
-    index_real = os.path.realpath(index_dir) if index_dir else ""
-    if not os.path.isdir(path):
-        if os.path.splitext(path)[1].lower() not in MIMES:
-            raise IngestError(path, "unsupported file type")
-        root = os.path.realpath(os.path.dirname(os.path.abspath(path)))
-        found, folders = [_describe(path, root, "")], []
-    else:
-        root, found, folders = os.path.realpath(path), [], [path]
-        while folders and len(folders) < _SPREAD_FOLDERS:
-            deeper = []
-            for folder in folders:
-                with os.scandir(folder) as entries:
-                    for entry in entries:
-                        if entry.is_dir(follow_symlinks=False):
-                            deeper.append(entry.path)
-                        else:
-                            found.append(_describe(entry.path, root, index_real))
-            folders = deeper
-    here = spark.createDataFrame([tuple(r.values()) for r in found if r], _LISTED)
-    if folders:
-        def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            columns = [c.split()[0] for c in _LISTED.split(", ")]
-            for frame in frames:
-                for folder in frame["folder"]:
-                    rows = [
-                        row
-                        for base, _, names in os.walk(folder, onerror=_unlisted)
-                        for name in names
-                        if (row := _describe(os.path.join(base, name), root, index_real))
-                    ]
-                    yield pd.DataFrame(rows, columns=columns)
-
-        shared = spark.createDataFrame([(f,) for f in folders], "folder string")
-        here = here.unionByName(shared.repartition(len(folders)).mapInPandas(walk, _LISTED))
-    return gate_files(here, limits)
+    if info.type == arrow_fs.FileType.Directory:
+        spark.dataSource.register(folder.FolderSource)
+        listed = spark.read.format(folder.FORMAT).option("path", path).option("skip", index_dir).load()
+        return gate_files(listed, limits)
+    if os.path.splitext(inner)[1].lower() not in MIMES:
+        raise IngestError(path, "unsupported file type")
+    parent = os.path.dirname(os.path.abspath(inner) if isinstance(fs, arrow_fs.LocalFileSystem) else inner)
+    found = folder.Tree(fs, parent, uri=path.replace(inner, parent)).entry(inner, info)
+    rows = [tuple(vars(found).values())] if found else []
+    return gate_files(spark.createDataFrame(rows, folder.SCHEMA), limits)
 
 
 def gate_files(listed: DataFrame, limits: Limits = LIMITS) -> DataFrame:
@@ -109,25 +63,52 @@ def gate_files(listed: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     )
 
 
-def with_digest(files: DataFrame) -> DataFrame:
-    """Add ``file_sha256``, read in blocks; contents stay in the task."""
+def _open(real: str):
+    fs, path = folder.opened(real)
+    return open(path, "rb") if isinstance(fs, arrow_fs.LocalFileSystem) else fs.open_input_stream(path)
+
+
+def remembered(files: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Add ``file_sha256`` of files that are as they were when last read: ``known`` has (doc_id, file_sha256, size, mtime, seen)."""
+    if known is None:
+        return files.withColumn("file_sha256", F.lit(None).cast("string"))
+    last = known.groupBy("doc_id").agg(F.max_by(F.struct("file_sha256", "size", "mtime", "seen"), "seen").alias("was"))
+    same = (
+        (F.col("was.size") == F.col("size")) & (F.col("was.mtime") == F.col("mtime"))
+        & (F.col("was.mtime") < F.col("was.seen") - RACY_MICROSECONDS) & F.col("reason").isNull()
+    )
+    return files.join(last, "doc_id", "left").withColumn("file_sha256", F.when(same, F.col("was.file_sha256"))).drop("was")
+
+
+def with_digest(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Add ``file_sha256`` and whether the file was ``opened`` for it; contents stay in the task."""
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sums = []
-            for real, reason in zip(frame["real"], frame["reason"]):
+            for real in frame["real"]:
                 try:
-                    with open(real, "rb") as handle:
-                        sums.append(None if reason else hashlib.file_digest(handle, "sha256").hexdigest())
+                    with _open(real) as handle:
+                        seal = hashlib.sha256()
+                        while block := handle.read(1 << 20):
+                            seal.update(block)
+                    sums.append(seal.hexdigest())
                 except OSError:
                     sums.append(None)
             yield frame.assign(file_sha256=sums)
 
+    files = remembered(files, known)
+    needed = F.col("file_sha256").isNull() & F.col("reason").isNull()
+    size = files.where(needed).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).collect()[0]
+    kept = files.where(~needed).withColumn("opened", F.lit(False))
+    if not size.n:
+        return kept
+    # Partitions by bytes; small files are shared out among the cores as well.
     cores = files.sparkSession.sparkContext.defaultParallelism
-    out = files.repartition(cores, "path").mapInPandas(
-        digest, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema) + ", file_sha256 string"
-    )
-    unread = F.col("file_sha256").isNull() & F.col("reason").isNull()
-    return out.withColumn("reason", F.when(unread, "unreadable file").otherwise(F.col("reason")))
+    parts = max(-(-size.bytes // DIGEST_BYTES), min(cores, size.n))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema)
+    read = files.where(needed).repartition(parts, "path").mapInPandas(digest, schema)
+    unread = F.when(F.col("file_sha256").isNull(), "unreadable file").otherwise(F.col("reason"))
+    return kept.unionByName(read.withColumn("reason", unread).withColumn("opened", F.lit(True)))
 
 
 def read_contents(files: DataFrame, as_text: bool) -> DataFrame:
@@ -135,7 +116,7 @@ def read_contents(files: DataFrame, as_text: bool) -> DataFrame:
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for real, doc_id, name in zip(frame["real"], frame["doc_id"], frame["filename"]):
-                with open(real, "rb") as handle:
+                with _open(real) as handle:
                     data = handle.read()
                 if as_text:
                     data = data.decode("utf-8-sig", "replace").replace("\r\n", "\n").replace("\r", "\n")

@@ -1,8 +1,8 @@
 """Folders and tables that keep growing, indexed one micro-batch at a time.
 
 Every batch is one generation of the index.  A batch that is run again after a
-failure finds its files unchanged in the manifest, or writes its generation anew,
-so replays do not double anything.
+failure sees the same files, finds them unchanged in the manifest or writes its
+generation anew, so replays do not double anything.
 """
 
 from __future__ import annotations
@@ -14,30 +14,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from passagemill.functions.hashing import hash_vector, text_hash
-from passagemill.operators.index import Index
-from passagemill.operators.ingest import HASH_MODEL, HASH_REVISION, index_blocks, ingest, split_unchanged
+from passagemill.operators.index import BUCKETS, Index
+from passagemill.operators.ingest import HASH_MODEL, HASH_REVISION, index_blocks, ingest_listed, split_unchanged
 from passagemill.operators.topk import cut_lineage
 from passagemill.schemas import LIMITS, Limits
+from passagemill.sources import folder
+from passagemill.sources.files import gate_files
 
 
 def stream_folder(
     spark: SparkSession, path: str, index_dir: str, checkpoint: str,
     encode: Callable[[Column], Column] = hash_vector, limits: Limits = LIMITS, trigger: dict | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Bring the index up to date with a folder at every tick of ``trigger`` (default: once).
 
-    A tick lists the folder as ``ingest`` does, with the same gates and ids, and the manifest
-    tells what is new or has changed; so what a file source would not show (hidden folders,
-    leading underscores, changed files) is seen as well.  Indexed and refused files of each
-    tick are rows under ``reports`` in the index; refused ones do not stop the stream.
+    The stream gives the files whose size or time have changed since the tick before, listed as
+    ``ingest`` lists them, with the same gates and ids; without a change no batch runs.  Indexed
+    and refused files of each batch are rows under ``reports`` in the index; refused ones do not
+    stop the stream.
     """
-    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+    spark.dataSource.register(folder.FolderSource)
+    options = {"path": path, "skip": index_dir, "snapshots": f"{checkpoint}/listings"}
+    listed = spark.readStream.format(folder.FORMAT).options(**options).load()
 
-    def batch(tick: DataFrame, number: int) -> None:
-        report = ingest(tick.sparkSession, path, index_dir, encode, limits=limits, fail_fast=False)
+    def batch(part: DataFrame, number: int) -> None:
+        report = ingest_listed(gate_files(part, limits), index_dir, encode, limits=limits, fail_fast=False, buckets=buckets)
         report.where("status <> 'skipped'").write.mode("overwrite").parquet(f"{index_dir}/reports/batch={number}")
 
-    return _started(ticks.writeStream.foreachBatch(batch), checkpoint, trigger)
+    return _started(listed.writeStream.foreachBatch(batch), checkpoint, trigger)
 
 
 def newest(rows: DataFrame, version: Column) -> DataFrame:
@@ -50,7 +55,7 @@ def newest(rows: DataFrame, version: Column) -> DataFrame:
 def stream_blocks(
     rows: DataFrame, to_blocks: Callable[[DataFrame], DataFrame], index_dir: str, checkpoint: str,
     encode: Callable[[Column], Column] = hash_vector, limits: Limits = LIMITS,
-    version: Column | None = None, trigger: dict | None = None,
+    version: Column | None = None, trigger: dict | None = None, buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Index a stream of texts (doc_id, text, filename, mime) that ``to_blocks`` turns into blocks.
 
@@ -60,7 +65,7 @@ def stream_blocks(
     version = F.lit(0) if version is None else version
 
     def batch(part: DataFrame, number: int) -> None:
-        index = Index(part.sparkSession, index_dir, HASH_MODEL, HASH_REVISION, limits.pipeline_version)
+        index = Index(part.sparkSession, index_dir, HASH_MODEL, HASH_REVISION, limits.pipeline_version, buckets)
         part = cut_lineage(newest(part, version))
         sources = part.select(
             "doc_id", F.col("doc_id").alias("path"), F.col("doc_id").alias("path_order"), "filename", "mime",
