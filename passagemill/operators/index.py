@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 
 from passagemill.operators import cells as clustered
 from passagemill.operators import postings as inverse
+from passagemill.operators.cache import Cache, bucket_of, filter_rows
 from passagemill.operators.rerank import Reranker, keyword_overlap, scorer_name
 from passagemill.operators.retrieval import Corpus
 from passagemill.operators.topk import cut_lineage
 from passagemill.schemas import LIMITS, IngestError
 
-KEYED = {"parents": "parent_id", "children": "chunk_id", "postings": "term"}
+KEYED = {"parents": "parent_id", "children": "chunk_id", "postings": "term", "embeddings": "text_hash"}
 MAX_BROADCAST_PAIRS = 200_000
 BUCKETS = 8
 
@@ -118,6 +119,10 @@ class Index:
         made, dead = clustered.Cells(self.table("vectors"), self.table("cells")), self.dead()
         return made if dead is None else clustered.without(made, dead)
 
+    def cache(self) -> Cache | None:
+        rows, filters = self.table("embeddings"), self.table("filters")
+        return None if rows is None or filters is None or not self.exists else Cache(rows, filters, self.buckets)
+
     def child_ids(self, doc_id: str) -> DataFrame:
         return self.live("children").where(F.col("doc_id") == doc_id).select("chunk_id")
 
@@ -159,6 +164,9 @@ class Index:
         """Write one table of a generation; files are balanced, lookups stay clustered."""
         target = f"{self.path}/{name}/gen={gen}"
         key = KEYED.get(name)
+        if "bucket" in rows.columns:
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(target)
+            return
         if key is None:
             rows.write.mode("overwrite").parquet(target)
             return
@@ -205,8 +213,9 @@ class Index:
         self.write_postings(stored, gen)
         self.write_cells(stored, gen)
         self.write("files", self.files().drop("gen"), gen)
-        cache = self.table("embeddings")
-        self.write("embeddings", cache.drop("gen"), gen)
+        self.write("embeddings", self.table("embeddings").drop("gen", "bucket"), gen)
+        hashes = self.spark.read.parquet(f"{self.path}/embeddings/gen={gen}").select("text_hash")
+        self.write("filters", filter_rows(hashes, hashes.count(), self.buckets), gen)
         self.commit(gen, self.dim, base=gen)
 
     # --- reading ----------------------------------------------------------------------
@@ -221,10 +230,6 @@ class Index:
         )
 
 
-def bucket_of(key: str, buckets: int):
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-
-
 def orphans(stored: DataFrame, keep: DataFrame, documents: DataFrame) -> DataFrame:
     """Stored rows of the given documents whose (doc_id, chunk_id) is not kept."""
     return stored.join(documents, "doc_id", "left_semi").join(keep, ["doc_id", "chunk_id"], "left_anti")

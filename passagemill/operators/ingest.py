@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import text as X
 from passagemill.functions.hashing import hash_vector, text_hash
+from passagemill.operators.cache import filter_rows, known
 from passagemill.operators.chunking import child_rows, parent_rows, passages
 from passagemill.operators.index import BUCKETS, Index
 from passagemill.operators.skew import join_hot
@@ -17,6 +18,7 @@ from passagemill.operators.topk import cut_lineage
 from passagemill.schemas import CHILD_COLUMNS, LIMITS, MIMES, PARENT_COLUMNS, IngestError, Limits
 from passagemill.sources import files as S
 
+EMBEDDINGS = "model_id string, model_revision string, text_hash string, vector array<float>"
 HASH_MODEL, HASH_REVISION = "sha256-unit-vector", "1"
 
 
@@ -44,19 +46,15 @@ def chunk_gates(counts: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     return counts.withColumn("reason", F.coalesce("reason", reason))
 
 
-def missing_texts(children: DataFrame, cache: DataFrame | None, model_id: str, revision: str) -> DataFrame:
-    """Distinct texts of children (text_hash, embed_text) with no vector in the cache."""
+def missing_texts(children: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Distinct texts of children (text_hash, embed_text) without a row in ``found``."""
     distinct = children.groupBy("text_hash").agg(F.first("embed_text").alias("embed_text"))
-    if cache is None:
-        return distinct
-    known = cache.where((F.col("model_id") == model_id) & (F.col("model_revision") == revision))
-    return distinct.join(known.select("text_hash"), "text_hash", "left_anti")
+    return distinct if found is None else distinct.join(found.select("text_hash"), "text_hash", "left_anti")
 
 
-def attach_vectors(children: DataFrame, cache: DataFrame, model_id: str, revision: str) -> DataFrame:
-    """Vectors by text hash; copies of one text may be many, so hot hashes are broadcast."""
-    known = cache.where((F.col("model_id") == model_id) & (F.col("model_revision") == revision))
-    return join_hot(children, known.select("text_hash", "vector").dropDuplicates(["text_hash"]), "text_hash", "left")
+def attach_vectors(children: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Vectors (text_hash, vector) to children; copies of one text may be many, so hot hashes are broadcast."""
+    return join_hot(children, vectors, "text_hash", "left")
 
 
 def index_blocks(
@@ -100,21 +98,22 @@ def index_blocks(
     children = children.withColumn("text_hash", text_hash(F.col("embed_text"))).withColumn(
         "dl", F.size(X.index_terms(F.col("embed_text"))).cast("bigint")
     )
-    fresh = missing_texts(children, index.table("embeddings"), index.model_id, index.model_revision)
-    fresh = fresh.select(
+    cache = index.cache()
+    found = None if cache is None else cut_lineage(known(children.select("text_hash"), cache, index.model_id, index.model_revision))
+    fresh = missing_texts(children, found).select(
         F.lit(index.model_id).alias("model_id"), F.lit(index.model_revision).alias("model_revision"),
         "text_hash", encode(F.col("embed_text")).cast("array<float>").alias("vector"),
     )
     index.write("embeddings", fresh, gen)
-    written = index.spark.read.parquet(f"{index.path}/embeddings/gen={gen}")
-    cache = index.table("embeddings")
-    cache = written if cache is None else cache.drop("gen").unionByName(written)
-    widths = written.agg(F.min(F.size("vector")), F.max(F.size("vector"))).collect()[0]
-    if widths[0] != widths[1]:
+    written = index.spark.read.schema(EMBEDDINGS).parquet(f"{index.path}/embeddings/gen={gen}")
+    made = written.agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("most")).collect()[0]
+    if made.least != made.most:
         raise IngestError(index.path, "the encoder made vectors of different lengths")
-    dim = widths[0] if widths[0] is not None else index.dim
+    dim = made.least if made.least is not None else index.dim
     index.check_dim(dim)
-    vectors = attach_vectors(children, cache, index.model_id, index.model_revision)
+    index.write("filters", filter_rows(written.select("text_hash"), made.n, index.buckets), gen)
+    vectors = written.select("text_hash", "vector")
+    vectors = attach_vectors(children, vectors if found is None else vectors.unionByName(found))
     index.write("children", vectors.select(*CHILD_COLUMNS, "dl", "vector"), gen)
     index.write("parents", parent_rows(cut).join(origin, "doc_id").select(*PARENT_COLUMNS), gen)
     stored = index.spark.read.parquet(f"{index.path}/children/gen={gen}")

@@ -9,6 +9,7 @@ from passagemill import api
 from passagemill.functions import text as X
 from passagemill.functions.hashing import content_id, hash_vector, text_hash
 from passagemill.operators import evaluation, fusion, ingest, lexical, packaging, postings, retrieval
+from passagemill.operators.cache import known, of_rows
 from passagemill.operators.index import orphans
 from passagemill.operators.topk import cut_lineage, query_slices, union_all
 from passagemill.plans import common as C
@@ -304,25 +305,25 @@ def _cache(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         F.lit("m").alias("model_id"), F.when(F.length("embed_text") % 3 == 1, "r").otherwise("old").alias("model_revision"),
         "text_hash", hash_vector(F.col("embed_text")).alias("vector"),
     )
-    return children, cut_lineage(cache)
+    made = cut_lineage(cache)
+    return children, known(children.select("text_hash"), of_rows(made, 16), "m", "r")
 
 
 @_add("cache_misses", C.sql("""
     SELECT sha256(embed_text) AS text_hash, any_value(embed_text) AS embed_text FROM child
     WHERE length(embed_text) % 3 <> 1 GROUP BY 1""", "child"))
 def cache_misses(spark: SparkSession, sf: str) -> DataFrame:
-    children, cache = _cache(spark, sf)
-    return ingest.missing_texts(children, cache, "m", "r")
+    return ingest.missing_texts(*_cache(spark, sf))
 
 
 @_add("cache_join", C.sql(f"""
-    SELECT chunk_id, CASE WHEN length(embed_text) % 3 = 1 THEN round((raw / sqrt(list_sum([y * y FOR y IN raw_all]))), 9) END AS v0 FROM (
-        SELECT chunk_id, embed_text, raw_all, raw_all[1] AS raw FROM (
-            SELECT chunk_id, embed_text, {C.sql_hash_vector('embed_text', 'd:')} AS raw_all FROM child))""", "child"))
+    SELECT chunk_id, {", ".join(f"CASE WHEN known THEN round(v[{i + 1}], 9) END AS v{i}" for i in range(8))} FROM (
+        SELECT chunk_id, length(embed_text) % 3 = 1 AS known, [x / sqrt(list_sum([y * y FOR y IN raw])) FOR x IN raw] AS v FROM (
+            SELECT chunk_id, embed_text, {C.sql_hash_vector('embed_text', 'd:')} AS raw FROM child))""", "child"))
 def cache_join(spark: SparkSession, sf: str) -> DataFrame:
-    children, cache = _cache(spark, sf)
-    joined = ingest.attach_vectors(children, cache, "m", "r")
-    return joined.select("chunk_id", F.round(F.col("vector")[0], 9).alias("v0"))
+    children, found = _cache(spark, sf)
+    joined = ingest.attach_vectors(children, found)
+    return joined.select("chunk_id", *[F.round(F.get("vector", F.lit(i)), 9).alias(f"v{i}") for i in range(8)])
 
 
 _TIGHT = Limits(max_chunks=20)
