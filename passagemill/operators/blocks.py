@@ -30,10 +30,33 @@ def assign_offsets(blocks: DataFrame) -> DataFrame:
     )
 
 
+def stack_any_depth(rows: DataFrame, order: str = "position", level: str = "level", name: str = "name") -> DataFrame:
+    """``stack_headings`` for levels of any depth: a fold over the headings of a document, which are its only rows gathered.
+
+    Each heading's path is joined to its row, and rows between headings take the last one.
+    """
+    heads = rows.where(F.col(level).isNotNull()).select("doc_id", F.struct(F.col(order).alias("at"), F.col(level).alias("l"), F.col(name).alias("name")).alias("h"))
+    none = F.array().cast("array<string>")
+
+    def push(state: Column, h: Column) -> Column:
+        kept = F.slice(state["stack"], F.lit(1), F.greatest(F.lit(0), h["l"].cast("int") - 1))
+        stack = F.when(F.coalesce(h["name"], F.lit("")) != "", F.concat(kept, F.array(h["name"]))).otherwise(kept)
+        return F.struct(stack.alias("stack"), F.concat(state["paths"], F.array(X.heading_path(stack))).alias("paths"))
+
+    listed = heads.groupBy("doc_id").agg(F.sort_array(F.collect_list("h")).alias("hs"))
+    start = F.struct(none.alias("stack"), none.alias("paths"))
+    paths = F.aggregate("hs", start, push, lambda s: s["paths"])
+    each = listed.select("doc_id", F.explode(F.arrays_zip(F.col("hs.at").alias(order), paths.alias("_own"))).alias("p"))
+    own = each.select("doc_id", F.col(f"p.{order}").alias(order), F.col("p._own").alias("_own"))
+    upto = _by_doc(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.join(own, ["doc_id", order], "left").withColumn("heading_path", F.coalesce(F.last("_own", ignorenulls=True).over(upto), F.lit("")))
+    return found.drop("_own")
+
+
 def stack_headings(
     rows: DataFrame, order: str = "position", level: str = "level", name: str = "name", deepest: int = 6
 ) -> DataFrame:
-    """Add ``heading_path``: the headings in force at each row of a document.
+    """Add ``heading_path``: the headings in force at each row of a document, for formats of ``deepest`` levels.
 
     A heading of level L keeps at most L-1 entries of the stack and pushes its
     name (an empty name only truncates).  With N the running number of pushes,

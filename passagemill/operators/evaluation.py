@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagemill.operators.order import order_statistic
 from passagemill.schemas import LIMITS, NO_CONFIDENT_HIT
 
 # Which mode wins when recall, rank and speed are equal.
@@ -45,20 +44,19 @@ def roll_up(graded: DataFrame, timings: DataFrame | None = None) -> DataFrame:
     Recall and mrr average answerable rows only and are 0 where there are none.
     ``timings`` (qid, mode, ms) adds the lower median per group.
     """
-    rows = graded if timings is None else graded.join(timings, ["qid", "mode"], "left")
-    ms = F.lit(None).cast("double") if timings is None else F.col("ms")
-    grouped = rows.withColumn("ms", ms).groupingSets(
-        [["mode"], ["mode", "kind"]], "mode", "kind"
-    )
-    scored = grouped.agg(
+    scored = graded.groupingSets([["mode"], ["mode", "kind"]], "mode", "kind").agg(
         F.grouping("kind").alias("_all"),
         F.coalesce(F.avg(F.when(F.col("answerable"), F.col("hit"))), F.lit(0.0)).alias("recall"),
         F.coalesce(F.avg(F.when(F.col("answerable"), F.col("reciprocal"))), F.lit(0.0)).alias("mrr"),
         F.avg("abstained").alias("abstain"),
         F.count("*").alias("n"),
-        F.coalesce(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ms)"), F.lit(0.0)).alias("p50"),
     )
-    return scored.withColumn("kind", F.when(F.col("_all") == 1, "all").otherwise(F.col("kind"))).drop("_all")
+    scored = scored.withColumn("kind", F.when(F.col("_all") == 1, "all").otherwise(F.col("kind"))).drop("_all")
+    if timings is None:
+        return scored.withColumn("p50", F.lit(0.0))
+    timed = graded.select("qid", "mode", F.explode(F.array(F.col("kind"), F.lit("all"))).alias("kind")).join(timings, ["qid", "mode"])
+    middle = lower_median(timed, ["mode", "kind"], "ms").drop("n")
+    return scored.join(middle, ["mode", "kind"], "left").fillna(0.0, ["p50"])
 
 
 def rank_one_scores(golden: DataFrame, rerank_hits: DataFrame) -> DataFrame:
@@ -69,15 +67,9 @@ def rank_one_scores(golden: DataFrame, rerank_hits: DataFrame) -> DataFrame:
 def fit_tau(scores: DataFrame, keep: float = LIMITS.tau_keep) -> DataFrame:
     """The score that keeps ``keep`` of the values, from the top; no row if there are none.
 
-    It is the value at index n - ceil(keep * n) in ascending order.  Asked for as a
-    fraction half a place past that index it is exact, while ``1 - keep`` itself
-    would be off by one at n = 20.
+    It is the value at index n - ceil(keep * n) in ascending order.
     """
-    n = scores.count()
-    if n == 0:
-        return scores.select(F.col("score").alias("tau"))
-    place = (n - math.ceil(keep * n) + 0.5) / n
-    return scores.agg(F.expr(f"percentile_disc({place!r}D) WITHIN GROUP (ORDER BY score)").alias("tau"))
+    return order_statistic(scores, [], "score", lambda n: n - F.ceil(F.lit(keep) * n) + 1, "tau").select("tau")
 
 
 def pick_live(scores: DataFrame) -> DataFrame:
@@ -113,7 +105,4 @@ def span_hit(golden: DataFrame, answers: DataFrame, hits: DataFrame) -> DataFram
 
 def lower_median(samples: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Middle sample per group, the lower one of an even count."""
-    return samples.groupBy(*groups).agg(
-        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("p50"),
-        F.count("*").alias("n"),
-    )
+    return order_statistic(samples, groups, value, lambda n: F.floor((n + 1) / 2), "p50")

@@ -259,20 +259,33 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@_add("heading_stack", """
-    WITH RECURSIVE step AS (SELECT conv_id AS doc_id, turn, 1 + (length(text) % 3) AS level, role || ' ' || turn AS name,
+def _stack_sql(levels: int) -> str:
+    return f"""
+    WITH RECURSIVE step AS (SELECT conv_id AS doc_id, turn, 1 + (length(text) % {levels}) AS level, role || ' ' || turn AS name,
                                    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
     walk AS (SELECT doc_id, turn, n, [name] AS stack FROM step WHERE n = 1
              UNION ALL
              SELECT s.doc_id, s.turn, s.n, list_append(w.stack[1:s.level - 1], s.name) FROM walk w
              JOIN step s ON s.doc_id = w.doc_id AND s.n = w.n + 1)
-    SELECT doc_id, turn, array_to_string(stack, ' > ') AS heading_path FROM walk""")
-def heading_stack(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.spread(C.table(spark, sf, "conversations")).select(
-        F.col("conv_id").alias("doc_id"), "turn", (1 + F.length("text") % 3).alias("level"),
+    SELECT doc_id, turn, array_to_string(stack, ' > ') AS heading_path FROM walk"""
+
+
+def _headings(spark: SparkSession, sf: str, levels: int) -> DataFrame:
+    return C.spread(C.table(spark, sf, "conversations")).select(
+        F.col("conv_id").alias("doc_id"), "turn", (1 + F.length("text") % levels).alias("level"),
         F.concat("role", F.lit(" "), F.col("turn").cast("string")).alias("name"),
     )
-    return B.stack_headings(rows, order="turn").select("doc_id", "turn", "heading_path")
+
+
+@_add("heading_stack", _stack_sql(12))
+def heading_stack(spark: SparkSession, sf: str) -> DataFrame:
+    return B.stack_any_depth(_headings(spark, sf, 12), order="turn").select("doc_id", "turn", "heading_path")
+
+
+@_add("heading_stack_six", _stack_sql(6))
+def heading_stack_six(spark: SparkSession, sf: str) -> DataFrame:
+    """The six levels of Markdown and HTML, by windows alone."""
+    return B.stack_headings(_headings(spark, sf, 6), order="turn").select("doc_id", "turn", "heading_path")
 
 
 @_add("embed_text", C.sql("SELECT doc_id, child_index, embed_text FROM child", "child"))

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from passagemill import api
+from passagemill.functions.hashing import text_hash
 from passagemill.operators import cache
 from passagemill.operators.ingest import ingest
 from passagemill.session import ship
@@ -60,5 +61,5 @@ def test_an_ingest_encodes_new_texts_only(spark, tmp_path):
     assert {r.gen: r["count"] for r in stored} == {1: 1, 2: 1}
     assert index.live("children").where(F.col("vector").isNull()).count() == 0 and index.live("children").count() == 3
     index.compact()
-    again = cache.known(index.live("children").select("text_hash"), index.cache(), index.model_id, index.model_revision)
+    again = cache.known(index.live("children").select(text_hash(F.col("embed_text")).alias("text_hash")), index.cache(), index.model_id, index.model_revision)
     assert again.count() == 2
