@@ -1,18 +1,25 @@
-"""The stored index: append-only generations of Parquet tables.
-
-An ingest writes its rows under a new generation and commits it last, so a lost
-run leaves nothing visible and is simply run again.  A document's live rows are
-those of its latest generation; an ingest that replaces it lists the older ones in
-a small table of superseded (doc_id, generation) pairs, filtered out until ``compact`` rewrites the tables.
-Tables read by id are partitioned by a hash bucket of that id and postings by a
-bucket of the term, so that a lookup opens few partitions.  The number of buckets
-is chosen when an index is made and kept by it.
+"""The stored index: append-only generations of Parquet tables and a log of commits.
+
+A writer claims a generation of its own by creating a file that must not be there yet, writes its
+rows under it and commits it last, so a lost run leaves nothing visible and is simply run again.
+A commit is one file of the log, moved to the next free number; a move never replaces a file.  If
+another writer took the number, its commit is read, documents that both have written are settled
+(the later commit counts: it lists the other's rows as superseded) and the next number is tried.
+The file system must create and move files without replacing; object stores that do not need one
+writer at a time.
+
+A document's live rows are those that no (doc_id, generation) pair of the table of superseded rows
+names, until ``compact`` rewrites the tables.  Tables read by id are partitioned by a hash bucket
+of that id and postings by a bucket of the term, so that a lookup opens few partitions.  The number
+of buckets is chosen when an index is made and kept by it.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +35,15 @@ from passagemill.schemas import LIMITS, IngestError
 KEYED = {"parents": "parent_id", "children": "chunk_id", "postings": "term", "embeddings": "text_hash"}
 MAX_BROADCAST_PAIRS = 200_000
 BUCKETS = 8
+#: How often a rewrite of the whole index starts again because others have written meanwhile.
+ATTEMPTS = 5
+_COMMIT = (
+    "gen bigint, replaces array<bigint>, dim int, model_id string, model_revision string, pipeline_version int, buckets int"
+)
+
+
+class Conflict(Exception):
+    """Others have committed since a rewrite of the whole index began."""
 
 
 class Index:
@@ -39,7 +55,7 @@ class Index:
         self.model_id, self.model_revision = model_id, model_revision
         self.pipeline_version = pipeline_version
         self.buckets = buckets
-        self.last = self.base = 0
+        self.gens: list[int] = []  # committed and not rewritten, in the order of their commits
         self.dim: int | None = None
         self.refresh()
 
@@ -53,16 +69,22 @@ class Index:
                 return None
             raise
 
+    def _log(self) -> list:
+        """All commits in order; one small row for each."""
+        try:
+            rows = self.spark.read.schema(_COMMIT).json(f"{self.path}/commits").select("*", F.input_file_name().alias("file"))
+            return sorted(rows.collect(), key=lambda r: r.file.rsplit("/", 1)[-1])
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+
     def refresh(self) -> None:
         """Read which generations are committed and check the index is ours."""
-        commits = self._read("commits")
-        if commits is None:
+        log = self._log()
+        if not log:
             return
-        head = commits.agg(
-            F.max("gen").alias("last"), F.max("base").alias("base"), F.max("dim").alias("dim"),
-            F.max_by(F.struct("model_id", "model_revision", "pipeline_version", "buckets"), "gen").alias("own"),
-        ).collect()[0]
-        own = head.own
+        own = log[-1]
         if (own.model_id, own.model_revision, own.pipeline_version) != (
             self.model_id, self.model_revision, self.pipeline_version,
         ):
@@ -71,26 +93,22 @@ class Index:
                 f"its vectors come from {own.model_id} revision {own.model_revision}, version "
                 f"{own.pipeline_version} of the pipeline; remove the folder and ingest again",
             )
-        self.last, self.base, self.dim, self.buckets = head.last, head.base, head.dim, own.buckets
+        gone = {g for r in log for g in r.replaces}
+        self.gens = [r.gen for r in log if r.gen not in gone]
+        self.dim, self.buckets = own.dim, own.buckets
 
     @property
     def exists(self) -> bool:
-        return self.last > 0
+        return bool(self.gens)
 
     def table(self, name: str) -> DataFrame | None:
         """Committed rows of a table, superseded ones included."""
         df = self._read(name)
-        if df is None:
-            return None
-        return df.where((F.col("gen") >= self.base) & (F.col("gen") <= self.last))
+        return None if df is None else df.where(F.col("gen").isin(self.gens))
 
     def files(self) -> DataFrame | None:
-        """The manifest: the latest row of each document."""
-        rows = self.table("files")
-        if rows is None:
-            return None
-        newest = F.max_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), "gen").alias("_row")
-        return rows.groupBy("doc_id").agg(newest).select("doc_id", "_row.*")
+        """The manifest: the live row of each document."""
+        return self.live("files")
 
     def superseded_by(self, documents: DataFrame) -> DataFrame:
         """The live rows the given documents have now, as pairs (doc_id, dead)."""
@@ -175,15 +193,64 @@ class Index:
             "bucket"
         ).parquet(target)
 
-    def commit(self, gen: int, dim: int, base: int | None = None) -> None:
-        row = [(gen, self.base if base is None else base, dim, self.model_id, self.model_revision,
-                self.pipeline_version, self.buckets)]
-        schema = (
-            "gen bigint, base bigint, dim int, model_id string, model_revision string, "
-            "pipeline_version int, buckets int"
-        )
-        self.spark.createDataFrame(row, schema).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
-        self.refresh()
+    def _hadoop(self, path: str):
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def claim(self) -> int:
+        """A generation that no other writer has or gets."""
+        gen = max(self.gens, default=0) + 1
+        while True:
+            at, fs = self._hadoop(f"{self.path}/claims/{gen}")
+            fs.mkdirs(at.getParent())
+            if fs.createNewFile(at):
+                return gen
+            gen += 1
+
+    def commit(self, gen: int, dim: int, replaces: list[int] | None = None) -> None:
+        """Make a claimed generation visible; ``replaces`` are the generations that it rewrites as a whole."""
+        known = set(self.gens)
+        while True:
+            log = self._log()
+            gone = {g for r in log for g in r.replaces}
+            others = [r.gen for r in log if r.gen not in known and r.gen not in gone]
+            if others and replaces is not None:
+                raise Conflict(self.path)
+            if others:
+                self._settle(gen, others)
+                known |= set(others)
+            row = {
+                "gen": gen, "replaces": replaces or [], "dim": dim, "model_id": self.model_id, "model_revision": self.model_revision,
+                "pipeline_version": self.pipeline_version, "buckets": self.buckets,
+            }
+            if self._publish(len(log) + 1, json.dumps(row)):
+                return self.refresh()
+
+    def _settle(self, gen: int, others: list[int]) -> None:
+        """Rows that others have committed for documents of this generation are superseded by it."""
+        mine = self.spark.read.parquet(f"{self.path}/files/gen={gen}").select("doc_id")
+        theirs = self._read("files").where(F.col("gen").isin(others)).select("doc_id", F.col("gen").cast("bigint").alias("dead"))
+        theirs.join(mine, "doc_id", "left_semi").write.mode("append").parquet(f"{self.path}/superseded/gen={gen}")
+
+    def _publish(self, number: int, text: str) -> bool:
+        """Put a commit under its number unless another is there."""
+        aside, fs = self._hadoop(f"{self.path}/commits/_{uuid.uuid4().hex}")
+        target, _ = self._hadoop(f"{self.path}/commits/{number:012d}.json")
+        out = fs.create(aside, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        jvm = self.spark._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(fs.makeQualified(aside), fs.makeQualified(target), options)
+            return True
+        except Py4JJavaError as error:
+            fs.delete(aside, False)
+            if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            return False
 
     def check_dim(self, dim: int) -> None:
         if self.dim is not None and self.dim != dim:
@@ -206,17 +273,22 @@ class Index:
 
     def compact(self) -> None:
         """Rewrite the live rows as one generation; earlier ones are no longer read."""
-        gen = self.last + 1
-        for name in ("children", "parents"):
-            self.write(name, self.live(name).drop("gen", "bucket"), gen)
-        stored = self.spark.read.parquet(f"{self.path}/children/gen={gen}")
-        self.write_postings(stored, gen)
-        self.write_cells(stored, gen)
-        self.write("files", self.files().drop("gen"), gen)
-        self.write("embeddings", self.table("embeddings").drop("gen", "bucket"), gen)
-        hashes = self.spark.read.parquet(f"{self.path}/embeddings/gen={gen}").select("text_hash")
-        self.write("filters", filter_rows(hashes, hashes.count(), self.buckets), gen)
-        self.commit(gen, self.dim, base=gen)
+        for _ in range(ATTEMPTS):
+            gen, old = self.claim(), list(self.gens)
+            for name in ("children", "parents"):
+                self.write(name, self.live(name).drop("gen", "bucket"), gen)
+            stored = self.spark.read.parquet(f"{self.path}/children/gen={gen}")
+            self.write_postings(stored, gen)
+            self.write_cells(stored, gen)
+            self.write("files", self.files().drop("gen"), gen)
+            self.write("embeddings", self.table("embeddings").drop("gen", "bucket"), gen)
+            hashes = self.spark.read.parquet(f"{self.path}/embeddings/gen={gen}").select("text_hash")
+            self.write("filters", filter_rows(hashes, hashes.count(), self.buckets), gen)
+            try:
+                return self.commit(gen, self.dim, replaces=old)
+            except Conflict:
+                self.refresh()
+        raise Conflict(self.path)
 
     # --- reading ----------------------------------------------------------------------
 

@@ -91,9 +91,9 @@ def index_blocks(
         "doc_id", F.col("doc_id").alias("source_path"), "file_sha256", "filename", "mime",
         F.lit(limits.pipeline_version).alias("pipeline_version"),
     )
-    gen = index.last + 1
-    if not good.limit(1).count():
+    if good.isEmpty():
         return _raise_or(failure, judged)
+    gen = index.claim()
     children = child_rows(cut).join(origin, "doc_id")
     children = children.withColumn("text_hash", text_hash(F.col("embed_text"))).withColumn(
         "dl", F.size(X.index_terms(F.col("embed_text"))).cast("bigint")
