@@ -15,7 +15,7 @@ from passagemill.operators.retrieval import Retrieval
 from passagemill.operators.topk import cut_lineage
 from passagemill.schemas import MODES, QueryError
 
-__all__ = ["ask", "evaluate", "ingest", "open_index", "time_modes"]
+__all__ = ["ask", "evaluate", "ingest", "open_index", "report", "span_score", "time_modes"]
 
 
 def _query_vector(q):
@@ -90,6 +90,19 @@ def evaluate(
     return cut_lineage(evaluation.roll_up(graded, timings)), tau, answers
 
 
+def span_score(
+    golden: DataFrame, scores: DataFrame, answers: dict[str, Retrieval], written: DataFrame
+) -> tuple[float | None, int]:
+    """Share of golden rows with an ``expect`` that the texts ``written`` (q, answer) hold, and their number.
+
+    A row counts when the mode that the scores choose has found its passage; an abstention has not.
+    """
+    live = evaluation.pick_live(scores).collect()[0].mode
+    texts = golden.select("qid", "q").join(written, "q").select("qid", "answer")
+    row = evaluation.span_hit(golden, texts, answers[live].hits).collect()[0]
+    return row.span_hit, row.span_n
+
+
 def report(scores: DataFrame, tau: float | None, span: tuple[float | None, int] = (None, 0)) -> dict:
     """The evaluation as one JSON-ready dict."""
     order = F.create_map(*[F.lit(x) for m in MODES for x in (m, MODES.index(m))])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import sys
 
+from pyarrow.fs import FileType
 from pyspark.sql import functions as F
 
 from passagemill import api
@@ -14,6 +14,7 @@ from passagemill.operators.packaging import format_hit
 from passagemill.schemas import IngestError, QueryError
 from passagemill.session import local_session
 from passagemill.sources.files import golden_rows
+from passagemill.sources.folder import opened
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -32,20 +33,22 @@ def _parser() -> argparse.ArgumentParser:
     command.add_argument("--index", required=True)
     command.add_argument("--golden", required=True)
     command.add_argument("--report", help="JSON file for the scores; default: in the index, where query finds its mode")
+    command.add_argument("--answers", help="JSON lines of q and answer: written texts to look for the expected spans in")
     command.add_argument("--timed", action="store_true", help="measure the latency of each query")
     return parser
 
 
 def _report_path(index_dir: str) -> str:
-    return os.path.join(index_dir, "report.json")
+    return f"{index_dir.rstrip('/')}/report.json"
 
 
 def live_mode(index_dir: str) -> str:
     """The mode chosen by the report kept in the index; without one, the cascade."""
-    if not os.path.exists(_report_path(index_dir)):
+    fs, path = opened(_report_path(index_dir))
+    if fs.get_file_info(path).type == FileType.NotFound:
         return "cascade"
-    with open(_report_path(index_dir), encoding="utf-8") as handle:
-        return json.load(handle)["live_mode"]
+    with fs.open_input_stream(path) as handle:
+        return json.loads(handle.read())["live_mode"]
 
 
 def _query(spark, args) -> str:
@@ -67,16 +70,24 @@ def _evaluate(spark, args) -> str:
     golden = golden_rows(spark, args.golden)
     corpus = index.corpus()
     timings = api.time_modes(corpus, golden) if args.timed else None
-    scores, tau, _ = api.evaluate(corpus, golden, timings=timings, save_tau=index.set_tau)
-    result = api.report(scores, tau)
-    with open(args.report or _report_path(args.index), "w", encoding="utf-8") as handle:
-        json.dump(result, handle, indent=2)
+    scores, tau, answers = api.evaluate(corpus, golden, timings=timings, save_tau=index.set_tau)
+    span = (None, 0)
+    if args.answers:
+        written = spark.read.schema("q string, answer string").json(args.answers)
+        span = api.span_score(golden, scores, answers, written)
+    result = api.report(scores, tau, span)
+    fs, path = opened(args.report or _report_path(args.index))
+    with fs.open_output_stream(path) as handle:
+        handle.write(json.dumps(result, indent=2).encode())
+    # Fixed value: the format of a line of scores.
     lines = [
         f"{s['mode']:10} {s['kind']:10} recall@5={s['recall']:.2f} mrr={s['mrr']:.2f} "
         f"abstain={s['abstain']:.2f} p50={s['p50']:.0f}ms n={s['n']}"
         for s in result["scores"]
     ]
     lines.append("tau unset" if tau is None else f"tau={tau:.4f}")
+    if span[0] is not None:
+        lines.append(f"span={span[0]:.2f} n={span[1]}")
     return "\n".join([*lines, f"live={result['live_mode']}"])
 
 
