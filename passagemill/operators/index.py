@@ -56,6 +56,8 @@ class Index:
         self.pipeline_version = pipeline_version
         self.buckets = buckets
         self.gens: list[int] = []  # committed and not rewritten, in the order of their commits
+        self._kept: dict[tuple, object] = {}  # what has been worked out for these generations
+        self._schemas: dict[str, object] = {}
         self.dim: int | None = None
         self.refresh()
 
@@ -63,11 +65,21 @@ class Index:
 
     def _read(self, name: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(f"{self.path}/{name}")
+            reader = self.spark.read.schema(self._schemas[name]) if name in self._schemas else self.spark.read
+            df = reader.parquet(f"{self.path}/{name}")
         except AnalysisException as error:
             if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
+        self._schemas[name] = df.schema
+        return df
+
+    def _once(self, name: str, make):
+        """What ``make`` gives, worked out once for the generations that are visible now."""
+        key = (name, *self.gens)
+        if key not in self._kept:
+            self._kept[key] = make()
+        return self._kept[key]
 
     def _log(self) -> list:
         """All commits in order; one small row for each."""
@@ -112,30 +124,42 @@ class Index:
 
     def superseded_by(self, documents: DataFrame) -> DataFrame:
         """The live rows the given documents have now, as pairs (doc_id, dead)."""
-        return self.files().join(documents, "doc_id", "left_semi").select("doc_id", F.col("gen").alias("dead"))
+        return self.files().join(documents, "doc_id", "left_semi").select("doc_id", F.col("gen").cast("bigint").alias("dead"))
 
     def dead(self) -> DataFrame | None:
         """Superseded pairs (doc_id, dead), or None while there are none."""
-        listed = self.table("superseded")
-        return None if listed is None or listed.isEmpty() else listed.select("doc_id", "dead")
+
+        def make():
+            listed = self.table("superseded")
+            return None if listed is None or listed.isEmpty() else listed.select("doc_id", "dead")
+
+        return self._once("dead", make)
 
     def live(self, name: str) -> DataFrame | None:
         rows, dead = self.table(name), self.dead()
         if rows is None or dead is None:
             return rows
-        few = dead.limit(MAX_BROADCAST_PAIRS + 1).count() <= MAX_BROADCAST_PAIRS
+        few = self._once("few", lambda: dead.limit(MAX_BROADCAST_PAIRS + 1).count() <= MAX_BROADCAST_PAIRS)
         dead = dead.withColumnRenamed("dead", "gen")
         return rows.join(F.broadcast(dead) if few else dead, ["doc_id", "gen"], "left_anti")
 
     def postings(self) -> inverse.Postings:
         """Live postings: ranges that hold superseded passages are opened and shortened."""
-        made, dead = inverse.Postings(self.table("postings"), self.table("ranges"), self.buckets), self.dead()
-        return made if dead is None else inverse.without(made, dead, F.col("gen"))
+
+        def make():
+            made = inverse.Postings(self.table("postings"), self.table("ranges"), self.buckets)
+            return made if self.dead() is None else inverse.without(made, self.dead(), F.col("gen"))
+
+        return self._once("postings", make)
 
     def cells(self) -> clustered.Cells:
         """Live vectors by cell."""
-        made, dead = clustered.Cells(self.table("vectors"), self.table("cells")), self.dead()
-        return made if dead is None else clustered.without(made, dead)
+
+        def make():
+            made = clustered.Cells(self.table("vectors"), self.table("cells"))
+            return made if self.dead() is None else clustered.without(made, self.dead())
+
+        return self._once("cells", make)
 
     def cache(self) -> Cache | None:
         rows, filters = self.table("embeddings"), self.table("filters")

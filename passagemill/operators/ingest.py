@@ -115,10 +115,10 @@ def index_blocks(
     vectors = written.select("text_hash", "vector")
     vectors = attach_vectors(children, vectors if found is None else vectors.unionByName(found))
     index.write("children", vectors.select(*CHILD_COLUMNS, "dl", "vector"), gen)
-    index.write("parents", parent_rows(cut).join(origin, "doc_id").select(*PARENT_COLUMNS), gen)
     stored = index.spark.read.parquet(f"{index.path}/children/gen={gen}")
-    if stored.where(F.col("vector").isNull()).limit(1).count():
+    if not stored.where(F.col("vector").isNull()).isEmpty():
         raise IngestError(index.path, "the encoder left texts without a vector")
+    index.write("parents", parent_rows(cut).join(origin, "doc_id").select(*PARENT_COLUMNS), gen)
     index.write_postings(stored, gen)
     index.write_cells(stored, gen)
     manifest = origin.select(
