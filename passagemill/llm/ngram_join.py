@@ -389,9 +389,12 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> tu
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, with all their columns, of one document of each component: that with the
     smallest id, and of rows that repeat it the first.  Documents without words all stay."""
-    numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = join(numbered, "_row", text)
-    firsts = found.join(numbered.select("_row", F.col(id_column).alias("_id")), "_row")
+    own = "_row"  # a name that no column of the documents has
+    while own.lower() in {c.lower() for c in docs.columns}:
+        own += "_"
+    numbered = cut_lineage(docs.withColumn(own, F.monotonically_increasing_id()))
+    found = join(numbered, own, text)
+    firsts = found.join(numbered.select(own, F.col(id_column).alias("_id")), own)
     # The smallest id of a component, nulls last; equal ones by their row.
-    chosen = firsts.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("first"))
-    return numbered.join(chosen.select(F.col("first._row").alias("_row")), "_row", "left_semi").drop("_row")
+    chosen = firsts.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", F.col(own).alias("at"))).alias("first"))
+    return numbered.join(chosen.select(F.col("first.at").alias(own)), own, "left_semi").drop(own)

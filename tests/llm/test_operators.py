@@ -435,3 +435,12 @@ def test_archives_give_back_what_was_written(spark, tmp_path):
         warc.parse_record(record.replace(b"abc", b"abd"))
     with pytest.raises(warc.FormatError):
         list(warc.members(memoryview(warc.member(record)[:-20])))
+
+
+def test_one_of_each_group_stays_with_all_its_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text, 1, "a"), (3, text + " end", 2, "b"), (9, "something else entirely here now", 3, "c"), (None, "", 4, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row long, _ROW_ string")
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(rows[1:], key=str)
