@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
         .appName("passagemill-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.sources.parallelPartitionDiscovery.threshold", "10000")
         .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
         .config("spark.ui.showConsoleProgress", "false")
