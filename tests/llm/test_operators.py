@@ -114,49 +114,93 @@ def test_language_model_base_is_exact_and_score_is_a_probability(spark, docs, em
     assert maxent.score(docs, F.lit(False)).where("n_known > 0").count() == 0
 
 
-def _brute_language_model(texts, held_out):
-    """log10 probabilities of the texts by plain dictionaries, and the model as a function."""
-    split = lambda t: (t or "").encode().lower().split() + [None]
-    c1, c2, c3 = collections.Counter(), collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
-    skip = collections.defaultdict(collections.Counter)
-    for i, t in texts:
-        if not held_out(i):
-            words = [None, None, *split(t)]
-            for a, b, w in zip(words, words[1:], words[2:]):
-                c1[w] += 1
-                c2[b][w] += 1
-                skip[a][w] += 1
-                c3[a, b][w] += 1
-    share = lambda w: (c1[w] + 1) / (sum(c1.values()) + len([w for w in c1 if c1[w]]) + 1)
-
-    def p(counts, base, w):
-        n = sum(counts.values())
-        if not n:
-            return base(w)
-        if w in counts:
-            return (counts[w] - maxent.DISCOUNT) / n
-        return maxent.DISCOUNT * len(counts) / n * base(w) / (1 - sum(base(x) for x in counts))
-
-    def model(a, b, w):
-        base = lambda x: (p(c2.get(b, {}), share, x) + p(skip.get(a, {}), share, x)) / 2
-        return p(c3.get((a, b), {}), base, w)
-
-    def score(t):
-        words = [None, None, *split(t)]
-        return sum(math.log10(model(a, b, w)) for a, b, w in zip(words, words[1:], words[2:]))
-
-    return score, model, set(c1)
-
-
-def test_language_model_equals_plain_dictionaries_and_sums_to_one(spark):
+def _facts(words, counts):
+    order = np.argsort(words)
+    return maxent.Facts(
+        int(counts.sum()), len(words), int((counts == 1).sum()), words[order], np.arange(len(words))[order], np.zeros(maxent.FAN**3, dtype=np.int64)
+    )
+
+
+def test_language_model_gradients_equal_finite_differences():
+    rng = np.random.default_rng(3)
+    words = rng.integers(1, 1 << 62, size=60).astype(np.uint64)
+    words[0] = maxent.END
+    words.sort()
+    numbers = rng.integers(0, 60, size=200)
+    facts = _facts(words, np.bincount(numbers, minlength=60))
+    history = maxent.Histories(numbers, words, np.array([120, 80]))
+    leaf = facts.leaves(words, np.zeros(60, dtype=np.int32))
+    for level in range(facts.depth):
+        rows, goal = maxent.rows_of(history.features(np.arange(200)), leaf[numbers], facts, level)
+        table = rng.normal(size=(facts.rows + maxent.FAN**level, maxent.FAN))
+
+        def loss(t, rows=rows, goal=goal):
+            z = t[rows].sum(axis=1)
+            return (np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(goal)), goal]).sum()
+
+        name, times, total = maxent.gradient(table, rows, goal)
+        assert times.sum() == rows.size and len(set(name.tolist())) == len(name)
+        for k in (0, len(name) // 2, len(name) - 1):
+            for klass in (0, 7, int(goal[0])):
+                up, down = table.copy(), table.copy()
+                up[name[k], klass] += 1e-5
+                down[name[k], klass] -= 1e-5
+                assert total[k, klass] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-4)
+
+
+def test_language_model_equals_a_plain_walk_and_sums_to_one(spark, monkeypatch):
+    """Scores by dictionaries from the trained tables, over all tokens that may follow; and by one pass for each softmax."""
     rng = np.random.default_rng(11)
     texts = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, size=int(rng.integers(1, 30))) % 40)) for i in range(80)] + [(900, None)]
-    held_out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    score, model, known = _brute_language_model(texts, held_out)
-    for r in maxent.score(table(spark, texts).repartition(3), ~crc_fold("doc_id", 7, 2)).collect():
-        assert r.score == pytest.approx(score(dict(texts)[r.doc_id]))
+    docs, learn = table(spark, texts).coalesce(1), ~crc_fold("doc_id", 7, 2)
+    blocks = maxent._written(maxent.encode(docs, learn, "doc_id", "text").withColumn("block", F.lit(0).cast("long")))
+    _, facts = maxent._corpus_counts(blocks)
+    weights = maxent.train(blocks, facts, [0, 1, 2])
+    hash_of = lambda w: maxent.tokenise([w])[0][0] if w else maxent.END
+    split = lambda t: [*(t or "").encode().split(), None]
+    counts = collections.Counter(w for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2 for w in split(t))
+    known = list(counts)
+    tails = np.array([maxent.tokenise([w])[1][0] if w else 0 for w in known])
+    leaf = dict(zip(known, facts.leaves(np.array([hash_of(w) for w in known]), tails)))
+    mass = collections.Counter()
+    for w in known:
+        mass[leaf[w]] += counts[w]
+    assert facts.tokens == sum(counts.values()) and facts.single == sum(c == 1 for c in counts.values())
+
+    def p(a, b, w):
+        if w not in counts:
+            return facts.unknown / (facts.single + 1)
+        vocabulary = np.array(sorted({maxent.END, hash_of(a), hash_of(b), np.uint64(7)}))
+        at = [int(np.searchsorted(vocabulary, hash_of(x))) for x in (a, b)]
+        history = maxent.Histories(np.array([*at, 0]), vocabulary, np.array([3]))
+        h = history.features(np.array([2]))
+        out = (1 - facts.unknown) * counts[w] / mass[leaf[w]]
+        for level in range(facts.depth):
+            rows, goal = maxent.rows_of(h, np.array([leaf[w]]), facts, level)
+            z = weights[level][rows[0]].astype(float).sum(axis=0)
+            out *= np.exp(z[goal[0]]) / np.exp(z).sum()
+        return out
+
+    for passes in (128 << 20, 1):
+        monkeypatch.setattr(maxent, "PASS_BYTES", passes)
+        assert len(facts.passes()) == (1 if passes > 1 else facts.depth)
+        for r in maxent.score(docs, learn).collect():
+            words = [None, None, *split(dict(texts)[r.doc_id])]
+            assert r.score == pytest.approx(sum(math.log10(p(a, b, w)) for a, b, w in zip(words, words[1:], words[2:])), rel=1e-4)
+    # Over all paths of classes, a leaf without a token included, each softmax sums to one.
     for a, b in ((None, None), (None, b"w1"), (b"w1", b"w2"), (b"w1", b"unknown"), (b"unknown", b"unknown")):
-        assert sum(model(a, b, w) for w in [*known, b"never"]) == pytest.approx(1)
+        one = sum(p(a, b, w) for w in known)
+        vocabulary = np.array(sorted({maxent.END, hash_of(a), hash_of(b)}))
+        at = [int(np.searchsorted(vocabulary, hash_of(x))) for x in (a, b)]
+        h = maxent.Histories(np.array([*at, 0]), vocabulary, np.array([3])).features(np.array([2]))
+        leaves = np.arange(maxent.FAN**facts.depth)
+        paths = np.ones(len(leaves))
+        for level in range(facts.depth):
+            rows, goal = maxent.rows_of(np.repeat(h, len(leaves), axis=0), leaves, facts, level)
+            paths *= maxent.softmax(weights[level], rows)[np.arange(len(leaves)), goal]
+        assert paths.sum() == pytest.approx(1, rel=1e-4)
+        empty = paths[[k for k in leaves if k not in mass]].sum()
+        assert one + (1 - facts.unknown) * empty + facts.unknown == pytest.approx(1, rel=1e-4)
 
 
 def test_language_model_tells_any_two_words_apart_by_their_history(spark):
