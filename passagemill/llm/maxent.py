@@ -7,7 +7,7 @@ before that, the two together, and a constant) in the class reached.  Frequent t
 leaf of their own, placed by rank; the others take classes by how they end and a leaf by their
 hash.  What the training texts do not hold has the share that Good and Turing give it, spread
 over one token more than occur once, so an unseen token is as likely as in the base model; all
-factors sum to one, so a score is a log probability.
+factors sum to one (over all leaves; a few hold no token), so a score is a log probability.
 
 What is gathered grows with the input.  With V distinct training tokens a path has half as many
 classes as V has hexadecimal digits (three at least), so there are at least ``sqrt(V)`` leaves and
@@ -217,19 +217,24 @@ def zero(facts: Facts, levels: list[int]) -> Tables:
     return {level: np.zeros((facts.rows + FAN**level, FAN), dtype=np.float32) for level in levels}
 
 
-def features(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashes of the history's features per token; before a text begins there are ends.
+class Histories:
+    """Hashes of the features of the history, for any tokens of a block; before a text begins there are ends."""
 
-    ``first`` marks the first token of each text."""
-    one = np.concatenate([[END], tokens[:-1]])
-    one[first] = END
-    two = np.concatenate([[END], one[:-1]])
-    two[first] = END
-    h = np.empty((len(tokens), _FEATURES), dtype=np.uint64)
-    h[:, 0] = mix64(one ^ _SALTS[1])
-    h[:, 1] = mix64(two ^ _SALTS[2])
-    h[:, 2] = mix64(h[:, 0] * _SALTS[3] + h[:, 1])
-    return h
+    def __init__(self, numbers: np.ndarray, words: np.ndarray, sizes: np.ndarray):
+        first = np.cumsum(sizes) - sizes
+        # The end is a block's number 0: its hash is the smallest, and every text has one.
+        self.one = np.concatenate([[0], numbers[:-1]])
+        self.one[first] = 0
+        self.two = np.concatenate([[0], self.one[:-1]])
+        self.two[first] = 0
+        self.salted = [mix64(words ^ salt) for salt in _SALTS[1:3]]
+
+    def features(self, at: np.ndarray) -> np.ndarray:
+        h = np.empty((len(at), _FEATURES), dtype=np.uint64)
+        h[:, 0] = self.salted[0][self.one[at]]
+        h[:, 1] = self.salted[1][self.two[at]]
+        h[:, 2] = mix64(h[:, 0] * _SALTS[3] + h[:, 1])
+        return h
 
 
 def rows_of(h: np.ndarray, leaf: np.ndarray, facts: Facts, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,27 +263,26 @@ def gradient(table: np.ndarray, rows: np.ndarray, goal: np.ndarray) -> tuple[np.
     """Rows that the batch uses, how often, and the gradient of its negative log likelihood in each."""
     each = softmax(table, rows)
     each[np.arange(len(goal)), goal] -= 1
-    flat = rows.ravel()
-    order = np.argsort(flat)
-    flat = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    return flat[first], np.diff(first, append=len(flat)), np.add.reduceat(each.take(order // rows.shape[1], axis=0), first, axis=0)
+    # One sort of whole numbers, with the token below the row, is faster than sorting places.
+    bits = len(goal).bit_length()
+    keys = ((rows.astype(np.int64) << bits) | np.arange(len(goal))[:, None]).ravel()
+    keys.sort()
+    name = keys >> bits
+    first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    total = np.add.reduceat(each.take(keys & ((1 << bits) - 1), axis=0), first, axis=0)
+    return name[first], np.diff(first, append=len(name)), total
 
 
 def _step(table: np.ndarray, energy: np.ndarray, used: np.ndarray, rows: np.ndarray, goal: np.ndarray) -> None:
     """One AdaGrad step (an accumulated square per row)."""
     name, times, total = gradient(table, rows, goal)
-    energy[name] += np.einsum("ij,ij->i", total, total) / FAN
-    table[name] -= (RATE / np.sqrt(energy[name] + 1e-6))[:, None] * total
+    squares = energy[name] + np.einsum("ij,ij->i", total, total) / FAN
+    energy[name] = squares
+    total *= (RATE / np.sqrt(squares))[:, None]
+    table[name] -= total
     used[name] += times
 
 
-def _history(block_numbers: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    tokens = words[block_numbers]
-    first = np.cumsum(sizes) - sizes
-    return tokens, features(tokens, first)
-
-
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     words = np.asarray(row["words"], dtype=np.int64).view(np.uint64)
     return (
@@ -326,12 +330,13 @@ def train(blocks: DataFrame, facts: Facts, levels: list[int]) -> Tables:
                 # A short first round over a part of the texts gives all tasks a common start.
                 part = np.arange(len(sizes)) % 8 == 0
                 chosen = flags & (part if turn == 0 else ~part)
-                _, h = _history(numbers, words, sizes)
+                history = Histories(numbers, words, sizes)
                 take = np.flatnonzero(np.repeat(chosen, sizes))
                 for lo in range(0, len(take), BATCH):
                     at = take[lo : lo + BATCH]
+                    h, goal = history.features(at), leaf[numbers[at]]
                     for level, table in tables.items():
-                        _step(table, energy[level], used[level], *rows_of(h[at], leaf[numbers[at]], known, level))
+                        _step(table, energy[level], used[level], *rows_of(h, goal, known, level))
             for level, table in tables.items():
                 for lo in range(0, len(table), chunk_rows):
                     s = slice(lo, lo + chunk_rows)
@@ -399,13 +404,14 @@ def _scored(counted: DataFrame, facts: Facts, weights: Tables, id_column: str) -
                 share = counts[known] / facts.leaf_tokens[leaf[known]]
                 outside[known] = np.log10(share) + (math.log10(1 - facts.unknown) if known.any() else 0)
                 outside[~known] = math.log10(facts.unknown / (facts.single + 1))
-            _, h = _history(numbers, words, sizes)
+            history = Histories(numbers, words, sizes)
             each = outside[numbers]
             seen = np.flatnonzero(known[numbers])
             for lo in range(0, len(seen), BATCH):
                 at = seen[lo : lo + BATCH]
+                h, leaves = history.features(at), leaf[numbers[at]]
                 for level, table in tables.items():
-                    rows, goal = rows_of(h[at], leaf[numbers[at]], facts, level)
+                    rows, goal = rows_of(h, leaves, facts, level)
                     each[at] += np.log10(np.maximum(softmax(table, rows)[np.arange(len(at)), goal], 1e-30))
             starts = np.cumsum(sizes) - sizes
             yield pa.record_batch([
