@@ -163,10 +163,12 @@ def scan_text(raw: bytes) -> tuple:
     base, labels, doubt = [], set(), 1.0
     base_labels: set[str] = set()
     folded = " " + b" ".join(words).decode("latin-1") + " "
+    counted, blanks = 0, 0  # matches come in order of their ends, so blanks are counted once
     for end, phrase in phrases.iter(folded):
         if phrase in BASE:
-            start = end - len(phrase) - 1
-            base.append(folded.count(" ", 0, start + 1) - 1)
+            blanks += folded.count(" ", counted, end + 1)
+            counted = end + 1
+            base.append(blanks - len(phrase.split()) - 1)
             base_labels.add(BASE[phrase])
             doubt *= 1 - BASE_WEIGHT
         if phrase in NOTICES:

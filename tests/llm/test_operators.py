@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import time
 import zlib
 
 import numpy as np
@@ -227,6 +228,17 @@ def test_licence_phrases_and_expressions(spark, docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_many_licence_phrases_in_one_text_take_linear_time():
+    raw = b"the mit license general public license apache license word " * 20_000
+    began = time.monotonic()
+    found = licenses.scan_text(raw)
+    assert time.monotonic() - began < 10
+    words = raw.split()
+    phrases = [p.encode().split() for p in licenses.BASE]
+    places = [k for k in range(len(words)) for p in phrases if words[k : k + len(p)] == p]
+    assert found[:4] == (len(words), len(places), min(places), max(places)) and found[4] == "apache,gpl,mit"
+
+
 def test_neighbours_are_found_and_ordered(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 16)).astype(np.float32)
