@@ -5,7 +5,7 @@ as Parquet to the shared folder and read again by the next, so a lost executor c
 stage at most.
 
 Defined cases: null columns stay as they are; a document whose text is null or has no
-letter goes in the first stage; extra columns are carried through.
+letter goes in the first stage; extra columns are carried through all stages but the last.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ STAGES = [
     ("sentence_pieces", encode_pieces),
 ]
 
-#: Fitted centroids and sampled pieces have no form in SQL; tests compare with a plain version.
+#: Fitted centroids and sampled pieces have no form in SQL; no plain version of the whole pipeline is tested yet.
 ORACLE_SQL = None
 
 
