@@ -42,11 +42,15 @@ BLOCK = "range string, term string, n int, tops array<struct<tf:int,dl:int>>, at
 
 @dataclass
 class Postings:
-    """``blocks`` (one row per range and term) and ``ranges`` (one row per range)."""
+    """``blocks`` (one row per range and term) and ``ranges`` (one row per range).
+
+    ``stored`` are the blocks as they lie and the ranges that have lost passages, where there are any.
+    """
 
     blocks: DataFrame
     ranges: DataFrame
     buckets: int | None = None
+    stored: tuple[DataFrame, DataFrame] | None = None
 
     def stats(self):
         """Number of passages and their mean length, from one small row per range."""
@@ -57,13 +61,15 @@ class Postings:
 
     def of_terms(self, terms: DataFrame) -> DataFrame:
         """Blocks of the terms (term).  Stored blocks lie in buckets; only those of the terms are opened."""
-        blocks = self.blocks
+        blocks = self.blocks if self.stored is None else self.stored[0]
         if self.buckets is not None and "bucket" in blocks.columns:
             # At most ``buckets`` numbers, whatever the batch holds.
             code = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket")
             wanted = [r.bucket for r in terms.select(code).distinct().collect()]
             blocks = blocks.where(F.col("bucket").isin(wanted)) if wanted else blocks.limit(0)
-        return blocks.join(terms, "term")
+        blocks = blocks.join(terms, "term")
+        # Lost passages are taken out of these blocks alone, once for the search.
+        return blocks if self.stored is None else cut_lineage(_shortened(blocks, self.stored[1]))
 
 
 def inverted(chunks: DataFrame, text: str = "embed_text", most: int = RANGE_ROWS) -> DataFrame:
@@ -199,39 +205,54 @@ def without(postings: Postings, dead: DataFrame, generation: Column) -> Postings
     lost = cut_lineage(gone.groupBy("range").agg(F.sort_array(F.collect_list("at")).alias("lost")))
     if lost.isEmpty():
         return postings
-    hit = lost.select("range")
-    blocks, ranges = postings.blocks, postings.ranges
-    columns = ["range", "term", "n", "tops", "at", "tf", "positions", *(c for c in blocks.columns if c == "bucket")]
-    touched = blocks.join(lost, "range").join(ranges.select("range", "dls"), "range").select(*columns, "lost", "dls")
-
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            out = []
-            for r in rows:
-                at, tf = np.array(r["at"]), np.array(r["tf"])
-                keep = ~np.isin(at, r["lost"])
-                if keep.any():
-                    dl = np.array(r.pop("dls"))[at[keep]]
-                    r.pop("lost")
-                    top_tf, top_dl, _ = frontier(np.zeros(int(keep.sum()), dtype=np.int64), tf[keep], dl)
-                    out.append(r | {
-                        "n": int(keep.sum()), "tops": [{"tf": int(a), "dl": int(b)} for a, b in zip(top_tf, top_dl)],
-                        "at": at[keep].tolist(), "tf": tf[keep].tolist(), "positions": np.array(r["positions"])[np.repeat(keep, tf)].tolist(),
-                    })
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([batch.schema.field(c) for c in columns]))
-
-    kept = touched.mapInArrow(drop, BLOCK + (", bucket int" if "bucket" in columns else ""))
+    ranges = postings.ranges
     # Passages keep their numbers in the range; a lost one has no id and no length.
     blank = lambda c: F.transform(c, lambda x, i: F.when(~F.array_contains("lost", i), x))
     dls = F.transform("dls", lambda x, i: F.when(F.array_contains("lost", i), 0).otherwise(x))
-    shorter = ranges.join(lost, "range").select(
+    shorter = cut_lineage(ranges.join(lost, "range").select(
         "range", F.aggregate(dls, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("length"), blank("chunk_ids").alias("chunk_ids"),
-        blank("doc_ids").alias("doc_ids"), blank("parent_ids").alias("parent_ids"), dls.alias("dls"))
+        blank("doc_ids").alias("doc_ids"), blank("parent_ids").alias("parent_ids"), dls.alias("dls"), "lost"))
+    left = ranges.select(*[c for c in shorter.columns if c != "lost"]).join(cut_lineage(lost.select("range")), "range", "left_anti")
     return Postings(
-        blocks.select(*columns).join(hit, "range", "left_anti").unionByName(kept.select(*columns)),
-        ranges.select(*shorter.columns).join(hit, "range", "left_anti").unionByName(shorter), postings.buckets)
+        _shortened(postings.blocks, shorter), left.unionByName(shorter.drop("lost")), postings.buckets, (postings.blocks, shorter))
+
+
+def _shortened(blocks: DataFrame, shorter: DataFrame) -> DataFrame:
+    """Blocks without the passages that their range has lost; the others as they are.
+
+    A task takes the blocks of one range and the range's lengths once, whatever the number of its terms.
+    """
+    columns = ["range", "term", "n", "tops", "at", "tf", "positions", *(c for c in blocks.columns if c == "bucket")]
+    blocks, hit = blocks.select(*columns), cut_lineage(shorter.select("range"))
+    touched = blocks.join(hit, "range", "left_semi")
+    kept = touched.groupBy("range").cogroup(shorter.select("range", "lost", "dls").groupBy("range")).applyInArrow(
+        _drop, BLOCK + (", bucket int" if "bucket" in columns else ""))
+    return blocks.join(hit, "range", "left_anti").unionByName(kept)
+
+
+def _drop(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The blocks of one range without its lost passages; a term that has none left goes."""
+    if not left.num_rows or not right.num_rows:
+        return left.slice(0, 0)
+    flat = {c: pc.list_flatten(left.column(c)).to_numpy().astype(np.int64) for c in ("at", "tf", "positions")}
+    row = np.repeat(np.arange(left.num_rows), _sizes(left.column("at")))
+    gone = np.zeros(len(right.column("dls")[0]), dtype=bool)
+    gone[right.column("lost")[0].values.to_numpy()] = True
+    dl = right.column("dls")[0].values.to_numpy().astype(np.int64)
+    keep = ~gone[flat["at"]]
+    row, at, tf, positions = row[keep], flat["at"][keep], flat["tf"][keep], flat["positions"][np.repeat(keep, flat["tf"])]
+    begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, dtype=np.int64)
+    first = np.cumsum(tf) - tf
+    tops_tf, tops_dl, tops_begin = frontier(row, tf, dl[at])
+    tops = pa.StructArray.from_arrays([pa.array(tops_tf.astype(np.int32)), pa.array(tops_dl.astype(np.int32))], ["tf", "dl"])
+    out = left.take(pa.array(row[begin]))
+    for name, values in (
+        ("n", pa.array(np.diff(np.r_[begin, len(row)]).astype(np.int32))),
+        ("tops", pa.ListArray.from_arrays(pa.array(np.r_[tops_begin, len(tops_tf)].astype(np.int32)), tops)),
+        ("at", _int_lists(at, begin)), ("tf", _int_lists(tf, begin)), ("positions", _int_lists(positions, first[begin])),
+    ):
+        out = out.set_column(out.schema.get_field_index(name), name, values)
+    return out
 
 
 # --- search ---------------------------------------------------------------------------

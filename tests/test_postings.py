@@ -97,3 +97,20 @@ def test_tops_are_what_no_other_pair_beats():
         pairs = set(zip(tf[code == c].tolist(), dl[code == c].tolist()))
         best = {p for p in pairs if not any(o != p and o[0] >= p[0] and o[1] <= p[1] for o in pairs)}
         assert set(zip(got_tf[begin[k] : ends[k]].tolist(), got_dl[begin[k] : ends[k]].tolist())) == best
+
+
+def test_superseded_passages_are_taken_out_once_per_range(spark):
+    chunks = _chunks(spark, topics=2)
+    stored = postings.of_chunks(chunks, most=16)
+    dead = spark.createDataFrame([("d0", 7), ("d3", 7), ("d4", 6)], "doc_id string, dead bigint")
+    live = postings.without(stored, dead, F.lit(7).cast("bigint"))
+    # No block carries the lengths of its whole range: they meet once, in the task of the range.
+    plan = live.blocks._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow run" not in plan and "MapInArrow drop" not in plan
+    key = ["chunk_id", "term", "tf", "dl", "positions"]
+    kept = postings.of_chunks(chunks.where("doc_id NOT IN ('d0', 'd3')"), most=16)
+    assert sorted(map(str, postings.posting_rows(live).select(key).collect())) == sorted(map(str, postings.posting_rows(kept).select(key).collect()))
+    terms = spark.createDataFrame([("s1",), ("t0w1",), ("absent",)], "term string")
+    some = live.of_terms(terms).select("range", "term", "n", "tops", "at", "tf", "positions")
+    assert sorted(map(str, some.collect())) == sorted(map(str, live.blocks.where("term IN ('s1', 't0w1', 'absent')").select(some.columns).collect()))
+    assert live.stats()[0] == kept.stats()[0]
