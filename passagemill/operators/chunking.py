@@ -1,7 +1,7 @@
 """Blocks to parent and child passages.
 
-One shuffle, by document, serves the section windows, the section grouping and
-the final de-duplication; everything between them is row-local.  Long texts are
+One shuffle, by document, serves the section windows and the section grouping, a
+second one the final de-duplication; everything between them is row-local.  Long texts are
 cut into pieces in the JVM, the packer sees only token counts, and passages are
 re-joined from pieces, so no step copies a whole section once per passage.
 """
@@ -197,7 +197,7 @@ def passages(
 ) -> DataFrame:
     """One row per child passage, kept or not, with its parent's columns.
 
-    The parent's text rides on its first child only.  ``is_first`` marks the
+    The parent's text rides on its first child only, and not where it is that child's.  ``is_first`` marks the
     first of equal children in a document and ``parent_kept`` the parents some
     such child belongs to; ``child_rows`` and ``parent_rows`` read off both
     tables, so nothing is joined back.
@@ -216,17 +216,22 @@ def passages(
     df = df.select(
         "doc_id", "section_id", "window_id", "piece_id", "kind", "heading_path", "page_start",
         "page_end", "parent_id",
-        F.when(F.col("piece_id") == 0, F.col("text")).alias("parent_text"),
+        F.when((F.col("piece_id") == 0) & (F.col("text") != F.col("span.text")), F.col("text")).alias("parent_text"),
         F.col("start_char").alias("parent_start"),
         F.col("end_char").alias("parent_end"),
         F.col("token_count").alias("parent_tokens"),
         F.col("span.text").alias("text"),
-        embed.alias("embed_text"),
         (F.col("start_char") + F.col("span.start")).cast("int").alias("start_char"),
         (F.col("start_char") + F.col("span.end")).cast("int").alias("end_char"),
         content_id(F.lit(limits.pipeline_version), F.col("doc_id"), embed).alias("chunk_id"),
-    ).withColumn("token_count", X.count_one(F.col("embed_text"), count))
-    return index_passages(df)
+    )
+    # Made again after the exchange, which then carries the text of a child once.
+    df = with_embed_text(index_passages(df))
+    return df.withColumn("token_count", X.count_one(F.col("embed_text"), count))
+
+
+def with_embed_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("embed_text", X.embed_text(F.col("heading_path"), F.col("text")))
 
 
 def index_passages(df: DataFrame) -> DataFrame:
@@ -237,7 +242,8 @@ def index_passages(df: DataFrame) -> DataFrame:
     upto = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    df = df.withColumn("is_first", F.row_number().over(same_child) == 1)
+    # The packer leaves no partitioning behind; one exchange by document serves all three windows.
+    df = df.repartition("doc_id").withColumn("is_first", F.row_number().over(same_child) == 1)
     df = df.withColumn("parent_kept", F.max("is_first").over(same_parent))
     opens = (F.col("piece_id") == 0) & F.col("parent_kept")
     return df.withColumn("child_index", (F.sum(F.col("is_first").cast("int")).over(upto) - 1).cast("int")).withColumn(
@@ -245,18 +251,18 @@ def index_passages(df: DataFrame) -> DataFrame:
     )
 
 
-def child_rows(df: DataFrame) -> DataFrame:
+def child_rows(df: DataFrame, *more: str) -> DataFrame:
     return df.where("is_first").select(
         "chunk_id", "parent_id", "doc_id", "text", "embed_text", "heading_path",
         F.col("kind").alias("block_type"), "start_char", "end_char", "page_start", "page_end",
-        "child_index", "parent_index", "token_count",
+        "child_index", "parent_index", "token_count", *more,
     )
 
 
-def parent_rows(df: DataFrame) -> DataFrame:
+def parent_rows(df: DataFrame, *more: str) -> DataFrame:
     return df.where(F.col("parent_kept") & (F.col("piece_id") == 0)).select(
-        "parent_id", "doc_id", F.col("parent_text").alias("text"), "heading_path",
+        "parent_id", "doc_id", F.coalesce("parent_text", "text").alias("text"), "heading_path",
         F.col("kind").alias("block_type"),
         F.col("parent_start").alias("start_char"), F.col("parent_end").alias("end_char"),
-        "page_start", "page_end", "parent_index", F.col("parent_tokens").alias("token_count"),
+        "page_start", "page_end", "parent_index", F.col("parent_tokens").alias("token_count"), *more,
     )

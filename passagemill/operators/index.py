@@ -27,14 +27,16 @@ from pyspark.sql import functions as F
 from passagemill.operators import cells as clustered
 from passagemill.operators import postings as inverse
 from passagemill.operators.cache import Cache, bucket_of, filter_rows
+from passagemill.operators.chunking import with_embed_text
 from passagemill.operators.rerank import Reranker, keyword_overlap, scorer_name
 from passagemill.operators.retrieval import Corpus
-from passagemill.operators.topk import cut_lineage
 from passagemill.schemas import LIMITS, IngestError
 
 KEYED = {"parents": "parent_id", "children": "chunk_id", "postings": "term", "embeddings": "text_hash"}
 MAX_BROADCAST_PAIRS = 200_000
 BUCKETS = 8
+#: The bucket of postings that holds range rows.
+RANGES = -1
 #: How often a rewrite of the whole index starts again because others have written meanwhile.
 ATTEMPTS = 5
 _COMMIT = (
@@ -116,7 +118,10 @@ class Index:
     def table(self, name: str) -> DataFrame | None:
         """Committed rows of a table, superseded ones included."""
         df = self._read(name)
-        return None if df is None else df.where(F.col("gen").isin(self.gens))
+        if df is None:
+            return None
+        rows = df.where(F.col("gen").isin(self.gens))
+        return with_embed_text(rows.drop("embed_text")) if name == "children" else rows
 
     def files(self) -> DataFrame | None:
         """The manifest: the live row of each document."""
@@ -147,7 +152,8 @@ class Index:
         """Live postings: ranges that hold superseded passages are opened and shortened."""
 
         def make():
-            made = inverse.Postings(self.table("postings"), self.table("ranges"), self.buckets)
+            blocks = self.table("postings").where(F.col("bucket") >= 0)
+            made = inverse.Postings(blocks, self.table("ranges"), self.buckets)
             return made if self.dead() is None else inverse.without(made, self.dead(), F.col("gen"))
 
         return self._once("postings", make)
@@ -203,19 +209,25 @@ class Index:
     # --- writing ----------------------------------------------------------------------
 
     def write(self, name: str, rows: DataFrame, gen: int) -> None:
-        """Write one table of a generation; files are balanced, lookups stay clustered."""
+        """Write one table of a generation; lookups stay clustered.
+
+        Embeddings are balanced first; wide tables are written by the tasks that hold them, a file
+        a task and bucket, since an exchange would move them whole once more.
+        """
         target = f"{self.path}/{name}/gen={gen}"
         key = KEYED.get(name)
         if "bucket" in rows.columns:
-            rows.write.mode("overwrite").partitionBy("bucket").parquet(target)
+            _writer(rows).partitionBy("bucket").parquet(target)
             return
         if key is None:
-            rows.write.mode("overwrite").parquet(target)
+            _writer(rows).parquet(target)
             return
         bucketed = rows.withColumn("bucket", bucket_of(key, self.buckets))
-        bucketed.hint("rebalance", "bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy(
-            "bucket"
-        ).parquet(target)
+        if name == "children":
+            bucketed = bucketed.drop("embed_text")  # made of two other columns again
+        if name == "embeddings":
+            bucketed = bucketed.hint("rebalance", "bucket")
+        _writer(bucketed.sortWithinPartitions("bucket", key)).partitionBy("bucket").parquet(target)
 
     def _hadoop(self, path: str):
         jvm = self.spark._jvm
@@ -285,14 +297,17 @@ class Index:
             )
 
     def write_postings(self, children: DataFrame, gen: int) -> None:
-        made = inverse.split(cut_lineage(inverse.inverted(children)))
-        self.write("postings", made.blocks, gen)
-        self.write("ranges", made.ranges, gen)
+        """Blocks in buckets of their terms, written once; range rows are beside them and copied to a table of their own."""
+        bucket = F.when(F.col("term").isNull(), RANGES).otherwise(bucket_of("term", self.buckets))
+        rows = inverse.inverted(children).withColumn("bucket", bucket)
+        self.write("postings", rows, gen)
+        written = self.spark.read.schema(rows.schema).parquet(f"{self.path}/postings/gen={gen}")
+        self.write("ranges", inverse.split(written.where(F.col("bucket") == RANGES)).ranges, gen)
 
     def write_cells(self, children: DataFrame, gen: int) -> None:
         """Vectors by cell; numbers of cells are those of the generation alone."""
         blocks, cells = clustered.build(children, first=gen * (clustered.MOST_CELLS + 1))
-        blocks.write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/vectors/gen={gen}")
+        _writer(blocks).partitionBy("cell").parquet(f"{self.path}/vectors/gen={gen}")
         self.write("cells", cells, gen)
 
     def compact(self) -> None:
@@ -301,7 +316,7 @@ class Index:
             gen, old = self.claim(), list(self.gens)
             for name in ("children", "parents"):
                 self.write(name, self.live(name).drop("gen", "bucket"), gen)
-            stored = self.spark.read.parquet(f"{self.path}/children/gen={gen}")
+            stored = with_embed_text(self.spark.read.parquet(f"{self.path}/children/gen={gen}"))
             self.write_postings(stored, gen)
             self.write_cells(stored, gen)
             self.write("files", self.files().drop("gen"), gen)
@@ -326,6 +341,10 @@ class Index:
         )
 
 
+def _writer(rows: DataFrame):
+    return rows.write.mode("overwrite").option("compression", "zstd")
+
+
 def orphans(stored: DataFrame, keep: DataFrame, documents: DataFrame) -> DataFrame:
     """Stored rows of the given documents whose (doc_id, chunk_id) is not kept."""
     return stored.join(documents, "doc_id", "left_semi").join(keep, ["doc_id", "chunk_id"], "left_anti")

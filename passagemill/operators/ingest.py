@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from passagemill.functions import text as X
 from passagemill.functions.hashing import hash_vector, text_hash
 from passagemill.operators.cache import filter_rows, known
-from passagemill.operators.chunking import child_rows, parent_rows, passages
+from passagemill.operators.chunking import child_rows, parent_rows, passages, with_embed_text
 from passagemill.operators.index import BUCKETS, Index
 from passagemill.operators.skew import join_hot
 from passagemill.operators.topk import cut_lineage
@@ -19,6 +19,7 @@ from passagemill.schemas import CHILD_COLUMNS, LIMITS, MIMES, PARENT_COLUMNS, In
 from passagemill.sources import files as S
 
 EMBEDDINGS = "model_id string, model_revision string, text_hash string, vector array<float>"
+_ORIGIN = ("source_path", "file_sha256", "filename", "mime", "pipeline_version")
 HASH_MODEL, HASH_REVISION = "sha256-unit-vector", "1"
 
 
@@ -59,19 +60,27 @@ def attach_vectors(children: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def index_blocks(
     index: Index, sources: DataFrame, blocks: DataFrame, encode: Callable[[Column], Column],
-    count: X.TokenCounter = X.whitespace_tokens, limits: Limits = LIMITS, fail_fast: bool = True,
+    count: X.TokenCounter = X.whitespace_tokens, limits: Limits = LIMITS, fail_fast: bool = True, parsed: bool = False,
 ) -> DataFrame:
     """Index documents (doc_id, path, path_order, file_sha256, filename, mime) from their blocks.
 
     Returns (doc_id, path, path_order, status, chunks, reason) of all of them.  With
     ``fail_fast`` the documents before the first refused one are indexed and then
     its reason is raised; otherwise refused ones are reported and the rest indexed.
+    ``parsed`` says that ``blocks`` are cheap to make again from written rows, so they are not
+    written themselves and the exchange that made them serves the sections too.
     """
     if not sources.groupBy("doc_id").count().where("count > 1").isEmpty():
         raise IngestError(index.path, "a document comes twice in one batch")
-    blocks = cut_lineage(blocks)
+    blocks = blocks if parsed else cut_lineage(blocks)
     readable = blocks.where(~S.is_unreadable(F.col("kind")))
-    cut = cut_lineage(passages(readable, count, limits))
+    # What a document says of itself joins where its passages lie by document already, so they are
+    # exchanged no further; texts to embed are made of two columns again.
+    origin = sources.select(
+        "doc_id", F.col("doc_id").alias("source_path"), "file_sha256", "filename", "mime",
+        F.lit(limits.pipeline_version).alias("pipeline_version"),
+    )
+    cut = cut_lineage(passages(readable, count, limits).drop("embed_text").join(origin, "doc_id"))
     per_block = blocks.groupBy("doc_id").agg(
         F.count("*").alias("n_blocks"),
         F.max(F.when(S.is_unreadable(F.col("kind")), F.col("text"))).alias("reason"),
@@ -87,17 +96,13 @@ def index_blocks(
     if failure is not None:
         good = good.where(F.col("path_order") < failure.path_order)
     good = good.select("doc_id")
-    origin = sources.join(good, "doc_id").select(
-        "doc_id", F.col("doc_id").alias("source_path"), "file_sha256", "filename", "mime",
-        F.lit(limits.pipeline_version).alias("pipeline_version"),
-    )
+    origin = origin.join(good, "doc_id")
     if good.isEmpty():
         return _raise_or(failure, judged)
     gen = index.claim()
-    children = child_rows(cut).join(origin, "doc_id")
-    children = children.withColumn("text_hash", text_hash(F.col("embed_text"))).withColumn(
-        "dl", F.size(X.index_terms(F.col("embed_text"))).cast("bigint")
-    )
+    if failure is not None or not judged.where(F.col("reason").isNotNull()).isEmpty():
+        cut = cut.join(good, "doc_id", "left_semi")
+    children = child_rows(with_embed_text(cut), *_ORIGIN).withColumn("text_hash", text_hash(F.col("embed_text")))
     cache = index.cache()
     found = None if cache is None else cut_lineage(known(children.select("text_hash"), cache, index.model_id, index.model_revision))
     fresh = missing_texts(children, found).select(
@@ -113,12 +118,13 @@ def index_blocks(
     index.check_dim(dim)
     index.write("filters", filter_rows(written.select("text_hash"), made.n, index.buckets), gen)
     vectors = written.select("text_hash", "vector")
-    vectors = attach_vectors(children, vectors if found is None else vectors.unionByName(found))
+    vectors = attach_vectors(children.drop("embed_text"), vectors if found is None else vectors.unionByName(found))
+    vectors = with_embed_text(vectors).withColumn("dl", F.size(X.index_terms(F.col("embed_text"))).cast("bigint"))
     index.write("children", vectors.select(*CHILD_COLUMNS, "dl", "vector"), gen)
-    stored = index.spark.read.parquet(f"{index.path}/children/gen={gen}")
+    stored = with_embed_text(index.spark.read.parquet(f"{index.path}/children/gen={gen}"))
     if not stored.where(F.col("vector").isNull()).isEmpty():
         raise IngestError(index.path, "the encoder left texts without a vector")
-    index.write("parents", parent_rows(cut).join(origin, "doc_id").select(*PARENT_COLUMNS), gen)
+    index.write("parents", parent_rows(cut, *_ORIGIN).select(*PARENT_COLUMNS), gen)
     index.write_postings(stored, gen)
     index.write_cells(stored, gen)
     manifest = origin.select(

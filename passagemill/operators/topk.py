@@ -133,7 +133,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executors, is computed once, and its size is known to the optimizer.
     """
     path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -46,10 +46,19 @@ def stream_folder(
 
 
 def newest(rows: DataFrame, version: Column) -> DataFrame:
-    """One row per ``doc_id``: that of the largest ``version`` (nulls last), then of the largest digest and row."""
-    rest = F.struct(*[c for c in rows.columns if c != "doc_id"])
+    """One row per ``doc_id``: that of the largest ``version`` (nulls last), then of the largest digest and row.
+
+    Only rows of documents that come more than once are exchanged.
+    """
+    others = [c for c in rows.columns if c != "doc_id"]
+    again = cut_lineage(rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    if again.isEmpty():
+        return rows.select("doc_id", *others)
+    rest = F.struct(*others)
     order = F.struct(version.isNotNull(), version, text_hash(F.col("text")), rest)
-    return rows.groupBy("doc_id").agg(F.max_by(rest, order).alias("_row")).select("doc_id", "_row.*")
+    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    best = rows.join(again, same, "left_semi").groupBy("doc_id").agg(F.max_by(rest, order).alias("_row")).select("doc_id", "_row.*")
+    return rows.join(again, same, "left_anti").select("doc_id", *others).unionByName(best)
 
 
 def stream_blocks(
@@ -72,8 +81,8 @@ def stream_blocks(
             text_hash(F.col("text")).alias("file_sha256"),
         )
         changed = split_unchanged(sources, index.files() if index.exists else None, index).where("NOT skipped")
-        texts = part.join(changed.select("doc_id"), "doc_id", "left_semi")
-        index_blocks(index, changed.drop("skipped"), to_blocks(texts), encode, limits=limits, fail_fast=False)
+        texts = part.join(changed.select("doc_id"), "doc_id", "left_semi") if index.exists else part
+        index_blocks(index, changed.drop("skipped"), to_blocks(texts), encode, limits=limits, fail_fast=False, parsed=True)
 
     return _started(rows.writeStream.foreachBatch(batch), checkpoint, trigger)
 

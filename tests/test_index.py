@@ -224,3 +224,21 @@ def test_two_writers_lose_nothing(spark, tmp_path):
     assert len(rewriter.gens) == 1 and rewriter.gens != overtaken
     # The folder b was listed whole: its x.md differs from what stands for x.md, so it counts now.
     assert {r.doc_id: r.text for r in rewriter.live("children").collect()} == {"x.md": "x of b", "y.md": "y of a", "z.md": "z again"}
+
+
+def test_wide_tables_are_written_by_the_tasks_that_hold_them(spark, tmp_path):
+    """Texts are stored once and postings with their ranges in one pass; no exchange moves them before they are written."""
+    home, folder = str(tmp_path / "index"), tmp_path / "docs"
+    folder.mkdir()
+    (folder / "a.md").write_text(GUIDE, encoding="utf-8")
+    ship(spark)
+    ingest(spark, str(folder), home)
+    index = api.open_index(spark, home)
+    raw = spark.read.parquet(f"{home}/children")
+    assert "embed_text" not in raw.columns
+    rows = index.live("children").collect()
+    assert rows and all(r.embed_text == (f"{r.heading_path}\n{r.text}" if r.heading_path else r.text) for r in rows)
+    stored = spark.read.parquet(f"{home}/postings")
+    assert stored.where("term IS NULL").count() == index.table("ranges").count() > 0
+    assert index.postings().blocks.where("term IS NULL").isEmpty()
+    assert index.postings().stats()[0] == len(rows)

@@ -4,7 +4,7 @@ from passagemill import api
 from passagemill.operators.blocks import assign_offsets
 from passagemill.operators.ingest import ingest
 from passagemill.session import ship
-from passagemill.streaming.ingest import stream_blocks, stream_folder
+from passagemill.streaming.ingest import newest, stream_blocks, stream_folder
 
 
 def test_a_folder_is_indexed_as_it_grows(spark, tmp_path):
@@ -63,3 +63,11 @@ def test_the_newest_version_of_a_batch_counts_and_replaces(spark, tmp_path):
     first = stream([("a", "old text here", 1), ("a", "new words there", 2), ("b", "kept", None)])
     assert first == [("a", "new words there"), ("b", "kept")]
     assert stream([("a", "third", 3), ("a", "third", 3)]) == [("a", "third"), ("b", "kept")]
+
+
+def test_texts_of_documents_that_come_once_are_not_exchanged(spark):
+    schema = "doc_id string, text string, v int"
+    once = spark.createDataFrame([("a", "one", 1), (None, "none", 1)], schema)
+    assert "Exchange" not in newest(once, F.col("v"))._jdf.queryExecution().executedPlan().toString()
+    twice = spark.createDataFrame([("a", "old", 1), ("a", "new", 2), (None, "x", 1), (None, "y", 3), ("b", "kept", None)], schema)
+    assert sorted((r.doc_id or "", r.text, r.v) for r in newest(twice, F.col("v")).collect()) == [("", "y", 3), ("a", "new", 2), ("b", "kept", None)]
