@@ -90,6 +90,57 @@ class _Model:
         )
 
 
+class PhraseTree:
+    """Finds phrases, given as lists of word codes below ``words``, in a stream of codes.
+
+    Phrases are the paths of one tree, followed by all places of the stream at once, so the work
+    grows with the stream and the longest phrase, not with the number of phrases.
+    """
+
+    def __init__(self, phrases: list[tuple[int, list[int]]], words: int):
+        # A node is numbered as it is met; the last entry of ``root`` stands for a word of no phrase.
+        self.root = np.full(words + 1, -1, dtype=np.int64)
+        steps: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        nodes = self.longest = 0
+        for number, (first, *rest) in phrases:
+            if self.root[first] < 0:
+                self.root[first], nodes = nodes, nodes + 1
+            node = int(self.root[first])
+            for c in rest:
+                key = node * words + c
+                if key not in steps:
+                    steps[key], nodes = nodes, nodes + 1
+                node = steps[key]
+            ends[node] = number
+            self.longest = max(self.longest, 1 + len(rest))
+        self.words = words
+        self.keys = np.array(sorted(steps), dtype=np.int64)
+        self.to = np.array([steps[k] for k in sorted(steps)], dtype=np.int64)
+        self.ends = np.full(nodes, -1, dtype=np.int64)
+        self.ends[list(ends)] = list(ends.values())
+
+    def find(self, code: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and row of every place where a phrase of two words or more stands within a row; -1 is no word."""
+        at = np.flatnonzero(self.root[code] >= 0)
+        node = self.root[code[at]]
+        numbers, rows = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for step in range(1, self.longest):
+            inside = at + step < len(code)
+            at, node = at[inside], node[inside]
+            follow = code[at + step]
+            same = (follow >= 0) & (row[at + step] == row[at])
+            at, node = at[same], node[same]
+            key = node * self.words + follow[same]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            met = self.keys[place] == key
+            at, node = at[met], self.to[place[met]]
+            number = self.ends[node]
+            numbers.append(number[number >= 0])
+            rows.append(row[at[number >= 0]])
+        return np.concatenate(numbers), np.concatenate(rows)
+
+
 class _UnitCounter:
     """Counts the units of a model in batches of token arrays."""
 
@@ -97,12 +148,13 @@ class _UnitCounter:
         self.terms = pa.array(model.terms, pa.string())
         code = {t: i for i, t in enumerate(model.terms)}
         self.single = np.full(len(model.terms), -1, dtype=np.int64)
-        self.longer = []
+        longer = []
         for unit, phrase in enumerate(model.phrases):
             if len(phrase) == 1:
                 self.single[code[phrase[0]]] = unit
             else:
-                self.longer.append((unit, [code[t] for t in phrase]))
+                longer.append((unit, [code[t] for t in phrase]))
+        self.longer = PhraseTree(longer, len(model.terms))
         self.n_units = len(model.phrases)
 
     def __call__(self, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,18 +163,8 @@ class _UnitCounter:
         row = np.repeat(np.arange(len(terms)), pc.list_value_length(terms).fill_null(0).to_numpy(zero_copy_only=False))
         code = pc.index_in(flat, value_set=self.terms).fill_null(-1).to_numpy(zero_copy_only=False)
         unit = np.where(code >= 0, self.single[code], -1) if len(self.single) else np.full(len(code), -1)
-        hits = [(unit[unit >= 0], row[unit >= 0])]
-        for number, phrase in self.longer:
-            m = len(code) - len(phrase) + 1
-            if m <= 0:
-                continue
-            at = np.ones(m, dtype=bool)
-            for i, c in enumerate(phrase):
-                at &= code[i : i + m] == c
-            at &= row[:m] == row[len(phrase) - 1 :]
-            found = row[:m][at]
-            hits.append((np.full(len(found), number), found))
-        key = np.concatenate([u for u, _ in hits]) * len(terms) + np.concatenate([r for _, r in hits])
+        longer, at = self.longer.find(code, row)
+        key = np.concatenate([unit[unit >= 0], longer]) * len(terms) + np.concatenate([row[unit >= 0], at])
         key, tf = np.unique(key, return_counts=True)
         return key // max(1, len(terms)), key % max(1, len(terms)), tf
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.operators.lexical import idf, query_units, saturation, tokenized
+from passagemill.operators.lexical import PhraseTree, idf, query_units, saturation, tokenized
 from passagemill.operators.topk import SCORE_DECIMALS, cut_lineage, rank_topk
 from passagemill.schemas import BM25_B, BM25_K1, LIMITS
 
@@ -259,33 +259,47 @@ def _drop(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _phrase_blocks(postings: Postings, units: DataFrame) -> DataFrame:
-    """Blocks of phrases: where their terms stand one after the other.  A phrase is named by its terms."""
-    phrases = units.where("size > 1").select("unit", "size", "phrase").distinct()
-    steps = phrases.select("unit", "size", F.posexplode("phrase").alias("step", "term"))
-    met = postings.of_terms(steps.select("term").distinct()).select("range", "term", "at", "tf", "positions")
-    met = met.join(steps, "term").select("range", "unit", "size", "step", "at", "tf", "positions")
-
-    def match(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        unit, size = rows[0]["unit"], rows[0]["size"]
-        at = tf = np.zeros(0, dtype=np.int64)
-        if len(rows) == size:
-            wide = max(max(r["positions"]) for r in rows) + 1
-            starts = None
-            for r in rows:
-                place = np.array(r["positions"], dtype=np.int64) - r["step"]
-                key = np.repeat(np.array(r["at"], dtype=np.int64), r["tf"])[place >= 0] * wide + place[place >= 0]
-                starts = key if starts is None else np.intersect1d(starts, key, assume_unique=True)
-            at, tf = np.unique(starts // wide, return_counts=True)
-        found = len(at) > 0
-        return pa.table({
-            "range": pa.array([rows[0]["range"]] * found, pa.string()), "unit": pa.array([unit] * found, pa.string()), "n": pa.array([len(at)] * found, pa.int32()),
-            "tops": pa.array([[{"tf": int(tf.max()), "dl": 0}]] if found else [], pa.list_(pa.struct([("tf", pa.int32()), ("dl", pa.int32())]))),
-            "at": pa.array([at.tolist()] if found else [], pa.list_(pa.int32())), "tf": pa.array([tf.tolist()] if found else [], pa.list_(pa.int32())),
-        })
+    """Blocks of phrases: where their terms stand one after the other.  A phrase is named by its terms.
 
+    A task puts the places of a range's words in order once and follows all phrases whose first word is there.
+    """
+    phrases = units.where("size > 1").select("unit", "phrase").distinct()
+    met = postings.of_terms(phrases.select(F.explode("phrase").alias("term")).distinct())
+    asked = met.select("range", "term").join(phrases.withColumn("term", F.get("phrase", F.lit(0))), "term").select(F.col("range").alias("of"), "unit", "phrase")
     schema = "range string, unit string, n int, tops array<struct<tf:int,dl:int>>, at array<int>, tf array<int>"
-    return cut_lineage(met.groupBy("range", "unit").applyInArrow(match, schema))
+    left = met.select("range", "term", "at", "tf", "positions")
+    return cut_lineage(left.groupBy("range").cogroup(asked.groupBy("of")).applyInArrow(_match, schema))
+
+
+def _match(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The phrases of one range that stand somewhere in it."""
+    code = {t: i for i, t in enumerate(left.column("term").to_pylist())}
+    units = right.column("unit").to_pylist()
+    phrases = [(i, [code[t] for t in p]) for i, p in enumerate(right.column("phrase").to_pylist()) if all(t in code for t in p)]
+    at, tf, position = (pc.list_flatten(left.column(c)).to_numpy().astype(np.int64) for c in ("at", "tf", "positions"))
+    row = np.repeat(at, tf)
+    # One place more than any row has, so that a row's last word is not before the next row's first.
+    place = row * ((int(position.max()) if len(position) else 0) + 2) + position
+    word = np.repeat(np.repeat(np.arange(left.num_rows), _sizes(left.column("at"))), tf)
+    order = np.argsort(place)
+    place, row, word = place[order], row[order], word[order]
+    # Words that do not follow each other are parted by a gap.
+    to = np.arange(len(place)) + np.cumsum(np.r_[False, np.diff(place) > 1][: len(place)])
+    stream, rows = np.full(int(to[-1]) + 1 if len(to) else 0, -1, dtype=np.int64), np.zeros(int(to[-1]) + 1 if len(to) else 0, dtype=np.int64)
+    stream[to], rows[to] = word, row
+    unit, held = PhraseTree(phrases, max(1, len(code))).find(stream, rows)
+    wide = int(held.max()) + 1 if len(held) else 1
+    key, tf = np.unique(unit * wide + held, return_counts=True)
+    unit, at = key // wide, key % wide
+    begin = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(unit) else np.zeros(0, dtype=np.int64)
+    most = np.maximum.reduceat(tf, begin) if len(begin) else tf
+    tops = pa.StructArray.from_arrays([pa.array(most.astype(np.int32)), pa.array(np.zeros(len(most), dtype=np.int32))], ["tf", "dl"])
+    return pa.table({
+        "range": pa.array([left.column("range")[0].as_py() for _ in begin], pa.string()), "unit": pa.array([units[u] for u in unit[begin]], pa.string()),
+        "n": pa.array(np.diff(np.r_[begin, len(unit)]).astype(np.int32)),
+        "tops": pa.ListArray.from_arrays(pa.array(np.arange(len(most) + 1, dtype=np.int32)), tops),
+        "at": _int_lists(at, begin), "tf": _int_lists(tf, begin),
+    })
 
 
 def _score(avgdl: float, k: int):

@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from passagemill.operators import postings
-from passagemill.operators.lexical import bm25_topk
+from passagemill.operators.lexical import PhraseTree, bm25_topk
 
 ASK = "qid bigint, q string, doc_filter string"
 
@@ -114,3 +115,24 @@ def test_superseded_passages_are_taken_out_once_per_range(spark):
     some = live.of_terms(terms).select("range", "term", "n", "tops", "at", "tf", "positions")
     assert sorted(map(str, some.collect())) == sorted(map(str, live.blocks.where("term IN ('s1', 't0w1', 'absent')").select(some.columns).collect()))
     assert live.stats()[0] == kept.stats()[0]
+
+
+def test_a_tree_of_phrases_finds_what_each_phrase_alone_finds():
+    rng = np.random.default_rng(3)
+    code, row = rng.integers(-1, 4, 600), np.sort(rng.integers(0, 60, 600))
+    phrases = list(dict.fromkeys(tuple(int(x) for x in rng.integers(0, 4, n)) for n in (2, 2, 3, 3, 3, 4, 5, 2, 3)))
+    number, at = PhraseTree(list(enumerate(map(list, phrases))), 4).find(code, row)
+    wanted = sorted(
+        (u, row[i]) for u, p in enumerate(phrases) for i in range(len(code) - len(p) + 1)
+        if tuple(code[i : i + len(p)]) == p and row[i] == row[i + len(p) - 1])
+    assert sorted(zip(number.tolist(), at.tolist())) == wanted
+    assert not len(PhraseTree([], 4).find(code, row)[0])
+
+
+def test_phrases_of_a_range_are_matched_in_one_task(spark):
+    left = pa.table({
+        "range": ["r", "r"], "term": ["a", "b"], "at": [[0, 2], [0, 1, 2]], "tf": [[2, 1], [1, 1, 2]],
+        "positions": [[0, 1, 5], [2, 0, 4, 6]]})
+    right = pa.table({"of": ["r"] * 4, "unit": ["a b", "a a", "b b", "a c"], "phrase": [["a", "b"], ["a", "a"], ["b", "b"], ["a", "c"]]})
+    found = postings._match(left, right).sort_by("unit").to_pylist()
+    assert [(r["unit"], r["n"], r["at"], r["tf"], r["tops"][0]["tf"]) for r in found] == [("a a", 1, [0], [1], 1), ("a b", 2, [0, 2], [1, 1], 1)]
