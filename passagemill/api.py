@@ -69,19 +69,20 @@ def evaluate(
     """
     asked = golden.select("qid", "q")
     answers: dict[str, Retrieval] = {}
-    found = None
+    asking = retrieval.batch(asked)
+    retrieval.require_text(asking)
+    found = cut_lineage(retrieval.search_legs(corpus, asking, "rrf", encode))
+    near = corpus.of(found)
     for mode in [m for m in MODES if m != "cascade"]:
-        if found is None:
-            found = cut_lineage(retrieval.search_legs(corpus, retrieval.batch(asked), "rrf", encode))
-        answers[mode] = retrieval.retrieve(corpus, asked, mode, reranker, encode, found)
+        answers[mode] = retrieval.retrieve(near, asked, mode, reranker, encode, found)
     fitted = evaluation.fit_tau(evaluation.rank_one_scores(golden, answers["rerank"].hits)).collect()
     tau = fitted[0].tau if fitted else None
     if tau is not None:
-        corpus.tau = tau
+        corpus.tau = near.tau = tau
         if save_tau is not None:
             save_tau(tau)
     ordered = answers["rerank"].ordered
-    answers["cascade"] = retrieval.retrieve(corpus, asked, "cascade", reranker, encode, found, ordered=ordered)
+    answers["cascade"] = retrieval.retrieve(near, asked, "cascade", reranker, encode, found, ordered=ordered)
     hits = status = None
     for answer in answers.values():
         hits = answer.hits if hits is None else hits.unionByName(answer.hits)

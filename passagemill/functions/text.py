@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 WS = r"\s\x{1c}-\x{1f}"
 INLINE = r"\s\x{1c}-\x{1f}&&[^\n]"
 
+# The same characters as a string: a trim looks at the ends of a text only, a pattern at every place.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 # Counts the tokens of every string of an array: array<string> -> array<int>.
 TokenCounter = Callable[[Column], Column]
 
@@ -49,7 +52,7 @@ def _accent_tables() -> tuple[str, str]:
 
 def strip(text: Column) -> Column:
     """Remove white space at both ends, as ``str.strip`` does."""
-    return F.regexp_replace(text, f"(?U)^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def leading_blanks(text: Column) -> Column:

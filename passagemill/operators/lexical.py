@@ -1,7 +1,7 @@
 """BM25 search.
 
-``bm25_topk`` scans passages: one pass counts the document frequencies of the query
-terms, a second scores in-task and keeps k per query.  ``postings.search`` gives the
+``bm25_topk`` scans passages once: a pass counts the query's units in each and writes the
+counts, and these are scored in-task, k per query.  ``postings.search`` gives the
 same scores from an inverted table.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.functions import text as X
-from passagemill.operators.topk import query_slices, rank_topk, task_topk, union_all
+from passagemill.operators.topk import cut_lineage, query_slices, rank_topk, task_topk, union_all
 from passagemill.schemas import BM25_B, BM25_K1, IDF_FLOOR, LIMITS
 
 
@@ -173,34 +173,54 @@ def _list_array(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def _unit_statistics(tokens: DataFrame, model: _Model) -> tuple[np.ndarray, int, float]:
-    """Document frequency of each unit, passage count and mean length, in one pass."""
+def _counted(tokens: DataFrame, model: _Model, carry: list[str]) -> DataFrame:
+    """Passages that hold a unit, (carry..., dl, units, tfs), written, so that texts are tokenised once.
+
+    Each task adds a row of totals, whose units begin with -1: ``dl`` is the length of all its
+    passages, ``tfs`` their number and then in how many of them each unit stands.
+    """
     count = _UnitCounter(model)
+    names = [*carry, "dl", "units", "tfs"]
+
+    def lists(edge: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(values.astype(np.int32)))
 
     def run(batches):
         df = np.zeros(count.n_units, dtype=np.int64)
         rows = length = 0
+        types = None
         for batch in batches:
             terms = batch.column("terms")
-            unit, _, _ = count(terms)
+            types = [batch.schema.field(c).type for c in carry]
+            unit, row, tf = count(terms)
             df += np.bincount(unit, minlength=count.n_units)
             rows += len(terms)
-            length += int(pc.sum(pc.list_value_length(terms)).as_py() or 0)
-        seen = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({
-            "unit": pa.array(np.r_[-1, seen]),
-            "rows": pa.array(np.r_[rows, df[seen]]),
-            "length": pa.array(np.r_[length, np.zeros(len(seen), dtype=np.int64)]),
-        })
-
-    totals = (
-        tokens.select("terms")
-        .mapInArrow(run, "unit bigint, rows bigint, length bigint")
-        .groupBy("unit")
-        .agg(F.sum("rows").alias("rows"), F.sum("length").alias("length"))
-        .collect()
-    )
-    df = np.zeros(count.n_units, dtype=np.int64)
+            dl = pc.list_value_length(terms).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            length += int(dl.sum())
+            order = np.argsort(row, kind="stable")
+            held, first = np.unique(row[order], return_index=True)
+            edge = np.r_[first, len(row)]
+            kept = [batch.column(c).take(pa.array(held)) for c in carry]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(dl[held]), lists(edge, unit[order]), lists(edge, tf[order])], names)
+        if types is not None:
+            seen = np.flatnonzero(df)
+            edge = np.array([0, len(seen) + 1])
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.nulls(1, t) for t in types), pa.array([length]), lists(edge, np.r_[-1, seen]), lists(edge, np.r_[rows, df[seen]])], names)
+
+    fields = "".join(f"`{c}` {tokens.schema[c].dataType.simpleString()}, " for c in carry)
+    return cut_lineage(tokens.select(*carry, "terms").mapInArrow(run, f"{fields}dl bigint, units array<int>, tfs array<int>"))
+
+
+def _is_total() -> Column:
+    return F.get("units", F.lit(0)) == -1
+
+
+def _unit_statistics(counted: DataFrame, n_units: int) -> tuple[np.ndarray, int, float]:
+    """Document frequency of each unit, passage count and mean length, from the tasks' totals."""
+    entries = counted.where(_is_total()).select("dl", F.explode(F.arrays_zip("units", "tfs")).alias("e"))
+    totals = entries.groupBy(F.col("e.units").alias("unit")).agg(F.sum("e.tfs").alias("rows"), F.sum("dl").alias("length")).collect()
+    df = np.zeros(n_units, dtype=np.int64)
     n, length = 0, 0
     for row in totals:
         if row.unit < 0:
@@ -210,27 +230,39 @@ def _unit_statistics(tokens: DataFrame, model: _Model) -> tuple[np.ndarray, int,
     return df, n, (length / n if n else 0.0)
 
 
+def term_rows(tokens: DataFrame, terms: list[str], carry: str) -> tuple[DataFrame, list[int]]:
+    """Rows (``carry``, units) of the ``tokens`` that hold one of the distinct ``terms``, by their
+    places in the list, and in how many rows each term stands."""
+    listed = _Model([], [], [(t,) for t in terms], [], terms)
+    counted = _counted(tokens, listed, [carry])
+    df, _, _ = _unit_statistics(counted, len(terms))
+    return counted.where(~_is_total()).select(carry, "units"), df.tolist()
+
+
 def _search_slice(chunks: DataFrame, queries: DataFrame, k: int, text: str, carry: list[str]) -> DataFrame:
     model = _Model.of(queries)
-    tokens = tokenized(chunks, text)
-    df, n, avgdl = _unit_statistics(tokens, model)
+    filters, weights = model.filters, model.weights
+    columns = list(dict.fromkeys([*carry, "doc_id"] if any(filters) else carry))
+    counted = _counted(tokenized(chunks, text), model, columns)
+    n_units = len(model.phrases)
+    df, n, avgdl = _unit_statistics(counted, n_units)
     raw = np.log((n - df + 0.5) / (df + 0.5)) if n else np.zeros(len(df))
     unit_idf = np.where(raw > 0, raw, IDF_FLOOR)
-    count = _UnitCounter(model)
-    filters, weights = model.filters, model.weights
-    columns = list(dict.fromkeys([*carry, "doc_id", "terms"]))
+    held = counted.where(~_is_total())
     if filters and all(filters):
-        tokens = tokens.where(F.col("doc_id").cast("string").isin(sorted(set(filters))))
+        held = held.where(F.col("doc_id").cast("string").isin(sorted(set(filters))))
 
     def score(rows: pa.Table) -> np.ndarray:
-        terms = _list_array(rows.column("terms"))
-        dl = pc.list_value_length(terms).fill_null(0).to_numpy(zero_copy_only=False)
-        unit, row, tf = count(terms)
+        units, dl = _list_array(rows.column("units")), rows.column("dl").to_numpy()
+        row = np.repeat(np.arange(len(units)), pc.list_value_length(units).to_numpy(zero_copy_only=False))
+        unit, tf = units.flatten().to_numpy(), _list_array(rows.column("tfs")).flatten().to_numpy()
+        order = np.argsort(unit, kind="stable")
+        unit, row, tf = unit[order], row[order], tf[order].astype(np.int64)
         value = unit_idf[unit] * tf * (BM25_K1 + 1.0) / (
             tf + BM25_K1 * (1.0 - BM25_B + BM25_B * dl[row] / avgdl)
         )
-        edge = np.searchsorted(unit, np.arange(count.n_units + 1))
-        out = np.zeros((len(weights), len(terms)))
+        edge = np.searchsorted(unit, np.arange(n_units + 1))
+        out = np.zeros((len(weights), len(units)))
         doc = None
         for q, listed in enumerate(weights):
             for u, w in listed:
@@ -243,7 +275,7 @@ def _search_slice(chunks: DataFrame, queries: DataFrame, k: int, text: str, carr
         out[out <= 0.0] = -np.inf
         return out
 
-    return task_topk(tokens.select(*columns), model.qids, k, carry, score)
+    return task_topk(held, model.qids, k, carry, score)
 
 
 def bm25_topk(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +49,11 @@ class Corpus:
             rows = rows.where(F.col("bucket").isin([r.bucket for r in wanted.select(code).distinct().collect()] or [-1]))
         return rows.join(wanted, key)
 
+    def of(self, found: DataFrame) -> Corpus:
+        """The corpus with the parents of these candidates alone, written, for several modes to fetch theirs from."""
+        ids = found.select("parent_id").distinct()
+        return replace(self, parents=cut_lineage(self.lookup(self.parents, "parent_id", ids)))
+
 
 @dataclass
 class Retrieval:

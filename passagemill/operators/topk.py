@@ -34,23 +34,35 @@ class TaskTopK:
     def __init__(self, k: int, id_column: str):
         self.k, self.id_column = k, id_column
         self.table: pa.Table | None = None
+        self.floor: np.ndarray | None = None  # the k-th best score of each query, once there is one
 
     def offer(self, scores: np.ndarray, rows: pa.Table) -> None:
         """``scores`` is queries x rows; -inf marks a row that is no candidate."""
         n = scores.shape[1]
         if n == 0:
             return
-        scores = np.round(scores, SCORE_DECIMALS)
+        if self.floor is None:
+            self.floor = np.full(len(scores), -np.inf)
+        least = self.floor.copy()
         if n > self.k:
-            least = np.partition(scores, n - self.k, axis=1)[:, n - self.k, None]
-            chosen = (scores >= least) & np.isfinite(scores)
-        else:
-            chosen = np.isfinite(scores)
-        query, row = np.nonzero(chosen)
+            open_ = np.flatnonzero(least == -np.inf)
+            some = np.where(np.isfinite(scores[open_]), scores[open_], -np.inf)
+            least[open_] = np.partition(some, n - self.k, axis=1)[:, n - self.k]
+        # Scores are rounded where they are near the best only, so the bound leaves room for that.
+        query, row = np.nonzero(scores >= (least - 10.0**-SCORE_DECIMALS)[:, None])
+        value = scores[query, row]
+        finite = np.isfinite(value)
+        query, row, value = query[finite], row[finite], np.round(value[finite], SCORE_DECIMALS)
+        if len(row) == 0:
+            return
         found = rows.take(pa.array(row))
         found = found.append_column("_query", pa.array(query.astype(np.int64)))
-        found = found.append_column("_score", pa.array(scores[query, row]))
+        found = found.append_column("_score", pa.array(value))
         self.table = self._best(found if self.table is None else pa.concat_tables([self.table, found]))
+        query, value = self.table.column("_query").to_numpy(), self.table.column("_score").to_numpy()
+        held = np.bincount(query, minlength=len(scores))
+        full = held >= self.k
+        self.floor[full] = value[np.cumsum(held)[full] - 1]
 
     def _best(self, table: pa.Table) -> pa.Table:
         if table.num_rows == 0:

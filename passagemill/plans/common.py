@@ -57,10 +57,11 @@ def line_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.array_distinct(
         F.filter(F.transform(F.split("text", "\n"), X.strip), lambda line: line != "")
     )
-    rows = documents(spark, sf_dir, "doc_id", "source", "text").select(
-        "doc_id", "source", parent_id().alias("parent_id"),
-        F.posexplode(lines).alias("child_index", "line"),
+    # Before the lines are dealt out, so that a text is hashed once and not copied to each of its lines.
+    docs = documents(spark, sf_dir, "doc_id", "source", "text").select(
+        "doc_id", "source", parent_id().alias("parent_id"), lines.alias("lines")
     )
+    rows = docs.select("doc_id", "source", "parent_id", F.posexplode("lines").alias("child_index", "line"))
     embed = X.embed_text(F.col("source"), F.col("line"))
     return rows.select(
         content_id(F.lit(LIMITS.pipeline_version), F.col("doc_id"), embed).alias("chunk_id"),

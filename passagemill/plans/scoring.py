@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,16 +45,20 @@ def _containing(docs: DataFrame, items: DataFrame) -> DataFrame:
     inner = words.where(F.size("terms") > 2).select(
         "qid", "q", F.explode(F.array_distinct(F.slice("terms", F.lit(2), F.size("terms") - 2))).alias("term")
     )
-    tokens = docs.select("doc_id", F.explode(F.array_distinct(X.index_terms(F.col("text")))).alias("term"))
-    # Counted first and joined after, so that frequent words are never written out.
-    wanted = F.broadcast(inner.select("term").distinct())
-    frequency = tokens.join(wanted, "term").groupBy("term").agg(F.count("*").alias("df"))
+    # The words of a batch of items, counted by task and written without the others, so that texts are tokenised once.
+    terms = sorted(r.term for r in inner.select("term").distinct().collect())
+    tokens = docs.select("doc_id", X.index_terms(F.col("text")).alias("terms"))
+    rows, df = lexical.term_rows(tokens, terms, "doc_id")
+    frequency = items.sparkSession.createDataFrame(
+        pa.table({"term": pa.array(terms, pa.string()), "unit": pa.array(range(len(terms)), pa.int32()), "df": pa.array(df, pa.int64())})
+    )
     rarest = cut_lineage(
-        inner.join(frequency, "term", "left")
+        inner.join(F.broadcast(frequency), "term")
         .groupBy("qid", "q")
-        .agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+        .agg(F.min_by("unit", F.struct("df", "term")).alias("unit"))
     )
-    pairs = cut_lineage(tokens.join(F.broadcast(rarest), "term").select("qid", "q", "doc_id"))
+    units = rows.select("doc_id", F.explode("units").alias("unit"))
+    pairs = cut_lineage(units.join(F.broadcast(rarest), "unit").select("qid", "q", "doc_id"))
     found = docs.join(F.broadcast(pairs) if _few(pairs) else pairs, "doc_id").where(F.col("text").contains(F.col("q")))
     short = [(r.qid, r.q) for r in words.where(F.size("terms") <= 2).select("qid", "q").collect()]
     out = found.select("qid", "doc_id")
@@ -358,9 +363,8 @@ _SELF = {
 
 def _self_corpus(spark: SparkSession, sf: str):
     lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), X.strip), lambda line: line != ""))
-    rows = C.documents(spark, sf, "doc_id", "text").select(
-        "doc_id", C.parent_id().alias("parent_id"), F.explode(lines).alias("embed_text")
-    )
+    docs = C.documents(spark, sf, "doc_id", "text").select("doc_id", C.parent_id().alias("parent_id"), lines.alias("lines"))
+    rows = docs.select("doc_id", "parent_id", F.explode("lines").alias("embed_text"))
     children = rows.withColumn(
         "chunk_id", content_id(F.lit(LIMITS.pipeline_version), F.col("doc_id"), F.col("embed_text"))
     ).withColumn("vector", hash_vector(F.col("embed_text")))
