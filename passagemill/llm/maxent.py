@@ -269,8 +269,25 @@ def gradient(table: np.ndarray, rows: np.ndarray, goal: np.ndarray) -> tuple[np.
     keys.sort()
     name = keys >> bits
     first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-    total = np.add.reduceat(each.take(keys & ((1 << bits) - 1), axis=0), first, axis=0)
-    return name[first], np.diff(first, append=len(name)), total
+    times = np.diff(first, append=len(name))
+    return name[first], times, run_sums(each, keys & ((1 << bits) - 1), first, times)
+
+
+def run_sums(values: np.ndarray, at: np.ndarray, first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """What ``np.add.reduceat(values[at], first)`` gives, to the bit; most runs are short, and those are added together."""
+    total = values.take(at[first], axis=0)
+    for n in range(2, 6):
+        some = np.flatnonzero(times == n)
+        if len(some):
+            rest = values.take(at[first[some] + 1], axis=0)
+            for k in range(2, n):
+                rest += values.take(at[first[some] + k], axis=0)
+            total[some] += rest
+    long = np.flatnonzero(times > 5)
+    if len(long):
+        edge = np.cumsum(times[long]) - times[long]
+        total[long] = np.add.reduceat(values.take(at[np.repeat(times > 5, times)], axis=0), edge, axis=0)
+    return total
 
 
 def _step(table: np.ndarray, energy: np.ndarray, used: np.ndarray, rows: np.ndarray, goal: np.ndarray) -> None:
