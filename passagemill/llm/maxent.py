@@ -34,6 +34,7 @@ row nothing is known and both scores follow from counts of 0.
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -164,15 +165,17 @@ def encode(docs: DataFrame, learn: Column, id_column: str, text: str) -> DataFra
 def _written(blocks: DataFrame) -> DataFrame:
     """The blocks as a table in the shared folder, in small row groups (a row can hold megabytes)."""
     path = scratch_path(blocks.sparkSession)
-    blocks.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(path)
+    # Sizes are looked at after each row; by default the first time after 100 rows, which may be gigabytes.
+    rows = blocks.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).option("parquet.page.size.row.check.min", 1)
+    rows.parquet(path)
     return blocks.sparkSession.read.schema(blocks.schema).parquet(path)
 
 
 def _corpus_counts(blocks: DataFrame) -> tuple[DataFrame, Facts]:
     """(block, known, known_counts): the places of a block's words that are training tokens, and
     how often each occurs in the training texts of the whole corpus; and the facts."""
-    entries = blocks.select("block", F.posexplode(F.arrays_zip("words", "tails", "trained")).alias("place", "e"))
-    entries = entries.select("block", "place", F.col("e.words").alias("word"), F.col("e.tails").alias("tail"), F.col("e.trained").alias("trained"))
+    entries = blocks.select(F.explode(F.arrays_zip("words", "tails", "trained")).alias("e"))
+    entries = entries.select(F.col("e.words").alias("word"), F.col("e.tails").alias("tail"), F.col("e.trained").alias("trained"))
     totals = cut_lineage(entries.groupBy("word").agg(F.sum("trained").alias("c"), F.first("tail").alias("tail")).where("c > 0"))
     step = F.floor(F.log2("c") * STEPS)
     by_step = totals.groupBy(step.alias("step")).agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("single"))
@@ -203,7 +206,8 @@ def _corpus_counts(blocks: DataFrame) -> tuple[DataFrame, Facts]:
     for leaf, c in totals.mapInArrow(tally, "leaf bigint, c bigint").groupBy("leaf").agg(F.sum("c")).collect():  # a row per leaf
         leaf_tokens[leaf] = c
     facts = Facts(tokens, distinct, single, bare.own, bare.own_leaf, leaf_tokens)
-    counted = entries.select("block", "place", "word").join(totals.select("word", "c"), "word")
+    places = blocks.select("block", F.posexplode("words").alias("place", "word"))
+    counted = places.join(totals.select("word", "c"), "word")
     # A block's words are as many as its tokens at most, so no group is larger than a block.
     back = counted.groupBy("block").agg(F.collect_list(F.struct("place", "c")).alias("counts"))
     return cut_lineage(back.select("block", F.col("counts.place").alias("known"), F.col("counts.c").alias("known_counts"))), facts
@@ -217,15 +221,34 @@ def zero(facts: Facts, levels: list[int]) -> Tables:
     return {level: np.zeros((facts.rows + FAN**level, FAN), dtype=np.float32) for level in levels}
 
 
+class Start:
+    """Tables that a task begins with.  Where they arrive they lie in an unnamed file, not in the task's
+    memory: a task that changes a copy holds the tables once, and reads the others again for the difference."""
+
+    def __init__(self, tables: Tables):
+        self.tables = tables
+
+    def __setstate__(self, state: dict) -> None:
+        self.tables = {}
+        with tempfile.TemporaryFile() as file:  # a mapping outlives the file's closing
+            for level, table in state["tables"].items():
+                at = file.tell()
+                file.write(memoryview(table))
+                file.flush()
+                self.tables[level] = np.asarray(np.memmap(file, table.dtype, "r", at, table.shape))
+                file.seek(0, 2)
+
+
 class Histories:
     """Hashes of the features of the history, for any tokens of a block; before a text begins there are ends."""
 
     def __init__(self, numbers: np.ndarray, words: np.ndarray, sizes: np.ndarray):
         first = np.cumsum(sizes) - sizes
         # The end is a block's number 0: its hash is the smallest, and every text has one.
-        self.one = np.concatenate([[0], numbers[:-1]])
+        zero = numbers[:1] * 0  # of the same type
+        self.one = np.concatenate([zero, numbers[:-1]])
         self.one[first] = 0
-        self.two = np.concatenate([[0], self.one[:-1]])
+        self.two = np.concatenate([zero, self.one[:-1]])
         self.two[first] = 0
         self.salted = [mix64(words ^ salt) for salt in _SALTS[1:3]]
 
@@ -320,11 +343,38 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
                     row[name] = value.values
                 elif is_list:
                     row[name] = value.values.to_numpy() if value.is_valid else np.zeros(0, dtype=np.int64)
+                elif pa.types.is_binary(column.type):
+                    row[name] = value.as_buffer()  # not a copy
                 else:
                     row[name] = value.as_py()
             yield row
 
 
+def learn(rows: Iterator[dict], start: Tables, facts: Facts, turn: int) -> tuple[Tables, Tables]:
+    """The tables after a task's steps in a round, and how often each of their rows was updated."""
+    tables = {level: np.array(table) for level, table in start.items()}
+    energy = {level: np.full(len(t), 1.0, dtype=np.float32) for level, t in tables.items()}
+    used = {level: np.zeros(len(t), dtype=np.int32) for level, t in tables.items()}
+    for row in rows:
+        _learn_block(row, tables, energy, used, facts, turn)
+    return tables, used
+
+
+def _learn_block(row: dict, tables: Tables, energy: Tables, used: Tables, facts: Facts, turn: int) -> None:
+    numbers, words, sizes, flags = _read(row)
+    leaf = facts.leaves(words, row["tails"])
+    # A short first round over a part of the texts gives all tasks a common start.
+    part = np.arange(len(sizes)) % 8 == 0
+    chosen = flags & (part if turn == 0 else ~part)
+    history = Histories(numbers, words, sizes)
+    take = np.flatnonzero(np.repeat(chosen, sizes))
+    for lo in range(0, len(take), BATCH):
+        at = take[lo : lo + BATCH]
+        h, goal = history.features(at), leaf[numbers[at]]
+        for level, table in tables.items():
+            _step(table, energy[level], used[level], *rows_of(h, goal, facts, level))
+
+
 def train(blocks: DataFrame, facts: Facts, levels: list[int]) -> Tables:
     """Weights of the levels after all rounds; each training text is used once."""
     spark = blocks.sparkSession
@@ -334,31 +384,16 @@ def train(blocks: DataFrame, facts: Facts, levels: list[int]) -> Tables:
     tasks = max(1, facts.tokens // (TOKENS_A_ROW * sum(len(t) for t in weights.values())))
     parts = blocks.select("numbers", "words", "tails", "sizes", "train").coalesce(tasks)
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((weights, facts))
+        shared = spark.sparkContext.broadcast((Start(weights), facts))
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
             start, known = shared.value
-            tables = {level: table.copy() for level, table in start.items()}
-            energy = {level: np.full(len(t), 1.0, dtype=np.float32) for level, t in tables.items()}
-            used = {level: np.zeros(len(t), dtype=np.int32) for level, t in tables.items()}
-            for row in _rows_of(batches):
-                numbers, words, sizes, flags = _read(row)
-                leaf = known.leaves(words, row["tails"])
-                # A short first round over a part of the texts gives all tasks a common start.
-                part = np.arange(len(sizes)) % 8 == 0
-                chosen = flags & (part if turn == 0 else ~part)
-                history = Histories(numbers, words, sizes)
-                take = np.flatnonzero(np.repeat(chosen, sizes))
-                for lo in range(0, len(take), BATCH):
-                    at = take[lo : lo + BATCH]
-                    h, goal = history.features(at), leaf[numbers[at]]
-                    for level, table in tables.items():
-                        _step(table, energy[level], used[level], *rows_of(h, goal, known, level))
+            tables, used = learn(_rows_of(batches), start.tables, known, turn)
             for level, table in tables.items():
                 for lo in range(0, len(table), chunk_rows):
                     s = slice(lo, lo + chunk_rows)
                     if used[level][s].any():
-                        moved = (table[s] - start[level][s]).astype(np.float16)
+                        moved = (table[s] - start.tables[level][s]).astype(np.float16)
                         yield pa.record_batch([
                             pa.array([level]), pa.array([lo]), pa.array([moved.tobytes()]), pa.array([used[level][s].tobytes()])
                         ], ["level", "start", "moved", "used"])
