@@ -36,11 +36,12 @@ from __future__ import annotations
 import math
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.llm.common import cut_lineage, mix64, scratch_path, slices, text_bytes
@@ -350,6 +351,21 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield row
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside send blocks to Python one or two at a time; else tens of them, once in the JVM and once in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "8m")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def learn(rows: Iterator[dict], start: Tables, facts: Facts, turn: int) -> tuple[Tables, Tables]:
     """The tables after a task's steps in a round, and how often each of their rows was updated."""
     tables = {level: np.array(table) for level, table in start.items()}
@@ -414,9 +430,12 @@ def train(blocks: DataFrame, facts: Facts, levels: list[int]) -> Tables:
                 yield pa.record_batch([pa.array([level]), pa.array([lo]), pa.array([mean.tobytes()])], ["level", "start", "mean"])
 
         moved = parts.mapInArrow(run, "level bigint, start bigint, moved binary, used binary")
-        for level, lo, mean in moved.repartition("level", "start").mapInArrow(add, "level bigint, start bigint, mean binary").collect():
-            mean = np.frombuffer(mean, dtype=np.float32).reshape(-1, FAN)  # each row of the tables, once
-            weights[level][lo : lo + len(mean)] += mean
+        means = moved.repartition("level", "start").mapInArrow(add, "level bigint, start bigint, mean binary")
+        with small_batches(spark):
+            means = means.toArrow()  # each row of the tables, once; the driver's JVM passes batches on as they come
+        for row in _rows_of(means.to_batches()):
+            mean, lo = np.frombuffer(row["mean"], dtype=np.float32).reshape(-1, FAN), row["start"]
+            weights[row["level"]][lo : lo + len(mean)] += mean
         shared.destroy()
     return weights
 

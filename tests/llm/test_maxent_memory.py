@@ -3,6 +3,7 @@ import tracemalloc
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 from passagemill.llm import maxent
@@ -19,6 +20,10 @@ def test_blocks_of_megabytes_are_row_groups_of_their_own(spark, tmp_path, monkey
         found = pq.ParquetFile(urlparse(name).path).metadata
         groups += [found.row_group(i).num_rows for i in range(found.num_row_groups)]
     assert groups == [1, 1, 1]
+    in_batches = lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches)
+    with maxent.small_batches(spark):
+        assert [r.n for r in blocks.coalesce(1).mapInArrow(in_batches, "n long").collect()] == [1, 1, 1]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
 
 
 def _row(words, sizes):
