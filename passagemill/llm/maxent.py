@@ -287,14 +287,15 @@ def gradient(table: np.ndarray, rows: np.ndarray, goal: np.ndarray) -> tuple[np.
     """Rows that the batch uses, how often, and the gradient of its negative log likelihood in each."""
     each = softmax(table, rows)
     each[np.arange(len(goal)), goal] -= 1
-    # One sort of whole numbers, with the token below the row, is faster than sorting places.
+    # One sort of whole numbers, short ones if they suffice, with the token below the row, is faster than sorting places.
     bits = len(goal).bit_length()
-    keys = ((rows.astype(np.int64) << bits) | np.arange(len(goal))[:, None]).ravel()
+    kind = np.uint32 if len(table).bit_length() + bits <= 32 else np.int64
+    keys = ((rows.astype(kind) << kind(bits)) | np.arange(len(goal), dtype=kind)[:, None]).ravel()
     keys.sort()
-    name = keys >> bits
+    name = keys >> kind(bits)
     first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
     times = np.diff(first, append=len(name))
-    return name[first], times, run_sums(each, keys & ((1 << bits) - 1), first, times)
+    return name[first].astype(np.int64), times, run_sums(each, (keys & kind((1 << bits) - 1)).astype(np.int64), first, times)
 
 
 def run_sums(values: np.ndarray, at: np.ndarray, first: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -320,7 +321,8 @@ def _step(table: np.ndarray, energy: np.ndarray, used: np.ndarray, rows: np.ndar
     squares = energy[name] + np.einsum("ij,ij->i", total, total) / FAN
     energy[name] = squares
     total *= (RATE / np.sqrt(squares))[:, None]
-    table[name] -= total
+    total = np.subtract(table.take(name, axis=0), total, out=total)  # take is faster than an index
+    table[name] = total
     used[name] += times
 
 
